@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, mixing
+from . import chat, decontaminate, exact_dedup, langid, mixing, quality, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_chat_format": chat.op4_chat_format,
+    "op5_langid": langid.op5_langid,
     "op7_mix": mixing.op7_mix,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
