@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, quality, toxicity
+from . import chat, decontaminate, exact_dedup, langid, mixing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_langid": langid.op5_langid,
     "op7_mix": mixing.op7_mix,
