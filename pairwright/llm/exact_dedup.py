@@ -41,10 +41,13 @@ def with_locator(docs: DataFrame, name: str, *columns: str) -> DataFrame:
 def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, partitions: int | None) -> DataFrame:
     """Drain the digest rows under source through the keyed state; one row for each digest."""
     out, check = scratch(spark, "dedup-state"), scratch(spark, "dedup-stream")
-    held = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    # RocksDB would reserve 4 MB of disk for each state partition's manifest, however little it holds
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STORE, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
     if partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    held = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
         state = stream.groupBy("digest").agg(F.min("who").alias("keeper"), F.count(F.lit(1)).alias("n"))
