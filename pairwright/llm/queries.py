@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, mixing, quality, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, langid, lm_score, mixing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_lm_score": lm_score.op2_lm_score,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_langid": langid.op5_langid,
