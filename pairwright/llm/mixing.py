@@ -18,6 +18,8 @@ sizes, so a rerun gives the same mix.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,6 +127,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """The rows of docs that the mix takes, with mix_copies, mix_size and mix_target. docs must be a stored table."""
+    rid = f"_rid_{uuid.uuid4().hex}"
+    m = mix(docs.select("doc_id", "source", "text"), weights, most).where("copies > 0")
+    took = m.select(F.col("rid").alias(rid), F.col("copies").alias("mix_copies"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(took, rid).drop(rid)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

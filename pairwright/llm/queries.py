@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, langid, lm_score, mixing, quality, suffix_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, jaccard_join, langid, lm_score, mixing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_chat_format": chat.op4_chat_format,
     "op5_langid": langid.op5_langid,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_mix": mixing.op7_mix,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
