@@ -61,6 +61,26 @@ class Bags:
         self.doc_of = np.concatenate((self.doc_of, empty))
 
 
+    @classmethod
+    def joined(cls, texts: list[bytes], size: int = 2_000_000) -> "Bags":
+        """The same bags from pieces of about `size` bytes, for many texts at once; without bounds of sentences."""
+        out, at, held = cls.__new__(cls), 0, 0
+        features, sentences, docs, shift = [], [], [], 0
+        for i in range(len(texts) + 1):
+            if i == len(texts) or held and held + len(texts[i]) > size:
+                if i > at:
+                    b = cls(texts[at:i])
+                    features.append(b.feature)
+                    sentences.append((b.sentence + shift).astype(np.int32))
+                    docs.append(b.doc_of + at)
+                    shift += len(b.doc_of)
+                at, held = i, 0
+            if i < len(texts):
+                held += len(texts[i]) + 1
+        out.feature, out.sentence, out.doc_of, out.n = np.concatenate(features), np.concatenate(sentences), np.concatenate(docs), len(texts)
+        return out
+
+
 def sentence_logits(bags: Bags, weights: np.ndarray, bias: float) -> np.ndarray:
     return bias + np.bincount(bags.sentence, weights=weights[bags.feature], minlength=len(bags.doc_of))
 
@@ -74,7 +94,7 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = 80, rate: float = 0.1
     """Adam on the documents' log likelihood, with shrinkage to exact zeros; words of few documents get no weight."""
     if not len(y):
         return np.zeros(1 << BITS, np.float32), -50.0
-    bags = Bags(texts)
+    bags = Bags.joined(texts)
     used, column = np.unique(bags.feature, return_inverse=True)
     pairs = np.unique(column.astype(np.int64) * bags.n + bags.doc_of[bags.sentence])
     often = (np.bincount(pairs // bags.n, minlength=len(used)) >= max(3, bags.n // 300))[column]
