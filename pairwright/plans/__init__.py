@@ -1,0 +1 @@
+"""Queries over the logical tables; importing queries fills the registry."""

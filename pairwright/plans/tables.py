@@ -142,7 +142,7 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 cte("outcomes", "SELECT " + _OUTCOME + " FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
 
 _REVIEW = """
-  event_id, event_id % 400 AS packet, user_id % 6 AS reviewer, ts,
+  event_id, event_id % 400 AS packet, user_id % 6 AS reviewer, CAST(ts AS TIMESTAMP) AS ts,
   CASE event_type WHEN 'click' THEN 'review_ready' WHEN 'view' THEN 'review_ready' WHEN 'purchase' THEN 'not_review_ready' ELSE 'uncertain' END AS decision, value
 """
 
