@@ -86,7 +86,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
 
 
 def bitmap_bits(n: int) -> int:
-    return min(16384, max(64, 1 << (2 * int(n) - 1).bit_length()))
+    return min(1 << 18, max(64, 1 << (2 * int(n) - 1).bit_length()))
 
 
 # ---------------------------------------------------------------- one row for each document
@@ -384,6 +384,7 @@ class SignatureTree:
 
 
 def tree_join(percent: int):
+    far = 1 << max(1, -(-100 // percent) - 1).bit_length()
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -394,11 +395,19 @@ def tree_join(percent: int):
         out_a, out_b = [], []
         for x, y in zip(cut[:-1], cut[1:]):
             rows = order[x:y]
-            size = 8 * min(len(bits[i]) for i in rows)
-            field = np.stack([folded(bits[i], size) for i in rows])
-            for i, j in SignatureTree(n[rows], comp[rows], field, percent).pairs():
-                out_a.append(rid[rows[i]])
-                out_b.append(rid[rows[j]])
+            sizes = np.array([8 * len(bits[i]) for i in rows])
+            # bitmaps grow with the sets, so those of linked sets differ by a factor of `far` at most;
+            # a tree holds one size and those up to far times it, folded to it, so no bitmap fills up
+            for size in np.unique(sizes):
+                own = rows[(sizes >= size) & (sizes <= far * size)]
+                if len(own) < 2:
+                    continue
+                field = np.stack([folded(bits[i], int(size)) for i in own])
+                least = np.array([8 * len(bits[i]) == size for i in own])
+                for i, j in SignatureTree(n[own], comp[own], field, percent).pairs():
+                    ok = least[i] | least[j]  # pairs of larger sizes have a tree of their own
+                    out_a.append(rid[own[i[ok]]])
+                    out_b.append(rid[own[j[ok]]])
         a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
         lo, hi = np.minimum(a, b), np.maximum(a, b)
         pairs = np.unique(np.stack((lo, hi), 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
