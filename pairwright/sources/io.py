@@ -125,7 +125,7 @@ def checkpoint_rows(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str], strict: bool = True) -> None:
     """strict: exactly these columns. Otherwise they are picked. An existing path is an error; Spark's committer publishes whole results only."""
-    (assert_exact_columns(df, columns) if strict else assert_required_columns(df, columns)).select(*columns).write.mode("errorifexists").option("header", True).csv(path)
+    (assert_exact_columns(df, columns) if strict else assert_required_columns(df, columns)).select(*columns).write.mode("errorifexists").option("header", True).option("escape", chr(34)).csv(path)
 
 
 def publish(df: DataFrame, path: str, validate) -> None:
