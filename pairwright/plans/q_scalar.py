@@ -319,11 +319,11 @@ def _score(key, expr, sql, source="scored", keys=("descriptor", "query", "candid
 
 
 def _mean(key, expr, sql):
-    """Mean of a score whose single values end in exact halves of the last digit."""
+    """Mean of a score whose single values end in exact halves of the sixth digit."""
 
-    @query(key, f"SELECT descriptor, query % 7 AS g, count(*) AS n, round(avg({sql}), 6) AS v FROM scored GROUP BY 1, 2", "scored")
+    @query(key, f"SELECT descriptor, query % 7 AS g, count(*) AS n, round(avg({sql}), 4) AS v FROM scored GROUP BY 1, 2", "scored")
     def run(spark, sf):
-        return scored(spark, sf).groupBy("descriptor", (c("query") % 7).alias("g")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(expr())).alias("v"))
+        return scored(spark, sf).groupBy("descriptor", (c("query") % 7).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(expr()), 4).alias("v"))
 
 
 _P, _I, _O = ("a", "b"), ("image_id",), ("id",)
@@ -380,8 +380,8 @@ def sc14(spark, sf):
 
 @query(
     "SC15_rerank_families",
-    """SELECT method, alpha, descriptor, query % 7 AS g, round(avg(CASE method WHEN 'descriptor' THEN pct WHEN 'blend' THEN (1 - alpha) * pct + alpha * admissible WHEN 'penalty' THEN pct - alpha * conflict ELSE pct * pow(reliability, alpha) END), 6) AS score
-FROM scored, (VALUES ('descriptor', 0.0::DOUBLE), ('blend', 0.25), ('blend', 0.5), ('penalty', 0.35), ('gate', 0.5)) g(method, alpha) WHERE rank <= 5 GROUP BY 1, 2, 3, 4""",
+    """SELECT method, alpha, descriptor, query % 7 AS g, round(avg(CASE method WHEN 'descriptor' THEN pct WHEN 'blend' THEN (1 - alpha) * pct + alpha * admissible WHEN 'penalty' THEN pct - alpha * conflict ELSE pct * pow(reliability, alpha) END), 4) AS score
+FROM scored, (VALUES ('descriptor', 0.0::DOUBLE), ('blend', 0.25), ('blend', 0.5), ('penalty', 0.35), ('gate', 0.5)) g(method, alpha) WHERE rank <= 7 GROUP BY 1, 2, 3, 4""",
     "scored",
 )
 def sc15(spark, sf):
@@ -392,7 +392,7 @@ def sc15(spark, sf):
         .when(c("method") == "penalty", c("pct") - c("alpha") * c("conflict"))
         .otherwise(c("pct") * F.pow("reliability", "alpha"))
     )
-    return scored(spark, sf).where("rank <= 5").crossJoin(F.broadcast(g)).groupBy("method", "alpha", "descriptor", (c("query") % 7).alias("g")).agg(r6(F.avg(s)).alias("score"))
+    return scored(spark, sf).where("rank <= 7").crossJoin(F.broadcast(g)).groupBy("method", "alpha", "descriptor", (c("query") % 7).alias("g")).agg(F.round(F.avg(s), 4).alias("score"))
 
 
 def policies(df):
@@ -503,12 +503,12 @@ def sc37(spark, sf):
 
 @query(
     "SC38_policy_weight_table",
-    "SELECT policy, descriptor, query % 7 AS g, round(avg(w1 * pct + w2 * admissible - w3 * conflict), 6) AS best FROM scored, (VALUES ('a', 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('b', 0.6, 0.4, 0.1), ('c', 0.3, 0.7, 0.3)) p(policy, w1, w2, w3) GROUP BY 1, 2, 3",
+    "SELECT policy, descriptor, query % 7 AS g, round(avg(w1 * pct + w2 * admissible - w3 * conflict), 4) AS best FROM scored, (VALUES ('a', 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('b', 0.6, 0.4, 0.1), ('c', 0.3, 0.7, 0.3)) p(policy, w1, w2, w3) GROUP BY 1, 2, 3",
     "scored",
 )
 def sc38(spark, sf):
     p = spark.createDataFrame([("a", 1.0, 0.0, 0.0), ("b", 0.6, 0.4, 0.1), ("c", 0.3, 0.7, 0.3)], "policy string, w1 double, w2 double, w3 double")
-    return scored(spark, sf).crossJoin(F.broadcast(p)).groupBy("policy", "descriptor", (c("query") % 7).alias("g")).agg(r6(F.avg(c("w1") * c("pct") + c("w2") * c("admissible") - c("w3") * c("conflict"))).alias("best"))
+    return scored(spark, sf).crossJoin(F.broadcast(p)).groupBy("policy", "descriptor", (c("query") % 7).alias("g")).agg(F.round(F.avg(c("w1") * c("pct") + c("w2") * c("admissible") - c("w3") * c("conflict")), 4).alias("best"))
 
 
 _bands(
