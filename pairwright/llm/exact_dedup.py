@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, kept, scratch, text_of
 
+#: A digest with more than one HOT-th of all rows is handled apart.
+HOT = 256
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,9 +88,12 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
         state = spark.createDataFrame([], "digest string, keeper struct<absent:boolean,doc_id:bigint,loc:string>, n bigint")
     else:
         state = run_state(spark, path, rows.schema, files_per_batch, state_partitions)
-    hits = state.where("n > 1")
-    bad = false_hits(docs, hits, rows)
-    base = rows.join(hits, "digest", "left").select(
+    hits = kept(state.where("n > 1"), "dedup-hits")
+    # a digest with a 256th of all rows is hot; there are 256 of them at most, so they can be broadcast
+    large = max(2, rows.count() // HOT)
+    hot, cold = F.broadcast(hits.where(F.col("n") >= large)), hits.where(F.col("n") < large)
+    bad = false_hits(docs, hot, cold)
+    base = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(cold, "digest", "left"), allowMissingColumns=True).select(
         F.col("who.doc_id").alias("doc_id"),
         F.coalesce("keeper", "who").alias("keeper"),
         F.coalesce("n", F.lit(1).cast("bigint")).alias("group_size"),
@@ -107,14 +112,17 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
     )
 
 
-def false_hits(docs: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame | None:
+def false_hits(docs: DataFrame, hot: DataFrame, cold: DataFrame) -> DataFrame | None:
     """Compare full bytes of all rows that share a digest; returns the rows of digests with unlike texts, if any.
 
-    Only rows of digests that were hit are gathered. Within a digest the smallest and the
-    largest text are kept by a partial aggregation, so a hot digest moves one text per task.
+    Within a digest the smallest and the largest text are kept by a partial aggregation. Rows
+    of hot digests are picked by a broadcast set and aggregated before they move, so each
+    task sends one text for each of them; all other rows meet their digests in a shuffled join.
     """
     texts = docs.select(F.sha2(normalised().cast("binary"), 256).alias("digest"), normalised().alias("body"), "_loc")
-    seen = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    ends = [F.min("body").alias("low"), F.max("body").alias("high")]
+    seen = texts.join(hot.select("digest"), "digest", "left_semi").groupBy("digest").agg(*ends)
+    seen = seen.unionByName(texts.join(hot.select("digest"), "digest", "left_anti").join(cold.select("digest"), "digest", "left_semi").groupBy("digest").agg(*ends))
     wrong = kept(seen.where("low <> high").select("digest"), "dedup-collisions")
     if wrong.isEmpty():
         return None
