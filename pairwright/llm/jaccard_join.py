@@ -15,7 +15,9 @@ the whole texts.
    their leaves' bitmaps, the range of sizes and of bit counts, and the component if there
    is just one. A dual traversal prunes node pairs whose maximum possible overlap is below
    what the threshold needs, or whose leaves are one component already.
-5. Pairs that are left are verified; links give the components.
+5. Pairs that are left are verified; links give the components. Each document's best pairs go
+   first: they join large groups of near copies, so few pairs between components are left
+   for the second pass, which takes all of them.
 
 Defined results: words are white-space separated and A-Z is folded; a text of fewer words
 than n is one n-gram; null, empty and word-free texts have no set, link with nothing and
@@ -40,6 +42,8 @@ WORDS = 5
 PERCENT = 75
 #: Hash orders whose least n-grams make stars.
 STARS = 4
+#: Candidates of each document and group that are verified before all others.
+BEST = 8
 #: Counters of the sketch that finds frequent n-grams (a fixed size).
 COUNTERS = 1 << 18
 #: Rows of ids that are broadcast at most; beyond it they meet the texts in a shuffled join.
@@ -86,7 +90,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
 
 
 def bitmap_bits(n: int) -> int:
-    return min(1 << 18, max(64, 1 << (2 * int(n) - 1).bit_length()))
+    """8 to 16 bits for each n-gram: then few n-grams share a bit, and the bound on an overlap is close to it."""
+    return min(1 << 20, max(64, 1 << (8 * int(n) - 1).bit_length()))
 
 
 # ---------------------------------------------------------------- one row for each document
@@ -357,7 +362,7 @@ class SignatureTree:
         return (100 + self.percent) * most >= self.percent * (a.low + b.low)
 
     def pairs(self):
-        """(rows, rows) of documents that may link."""
+        """(rows, rows, bound on the overlap as a share of both sizes) of documents that may link."""
         stack = [(self.root, self.root)]
         while stack:
             a, b = stack.pop()
@@ -374,7 +379,7 @@ class SignatureTree:
                 k = popcount(self.bits[i] & self.bits[j])
                 most = np.minimum(self.n[i] - (self.count[i] - k), self.n[j] - (self.count[j] - k))
                 ok = (100 + self.percent) * most >= self.percent * (self.n[i] + self.n[j])
-                yield i[ok], j[ok]
+                yield i[ok], j[ok], most[ok] / (self.n[i] + self.n[j])[ok]
             elif b.kids is None or a.kids is not None and a is not b and a.high - a.low >= b.high - b.low:
                 stack.extend((k, b) for k in a.kids)
             elif a is b:
@@ -383,7 +388,34 @@ class SignatureTree:
                 stack.extend((a, k) for k in b.kids)
 
 
-def tree_join(percent: int):
+def distinct(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The unordered pairs (smaller id, larger id), each once."""
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((hi, lo))
+    lo, hi = lo[order], hi[order]
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    return lo[new], hi[new]
+
+
+def foremost(i: np.ndarray, j: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
+    """Which pairs are among the `best` of one of their documents."""
+    who, at = np.concatenate((i, j)), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((-score[at], who))
+    who = who[order]
+    new = np.ones(len(who), bool)
+    new[1:] = who[1:] != who[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))
+    keep = np.zeros(len(i), bool)
+    keep[at[order][np.arange(len(who)) - first < best]] = True
+    return keep
+
+
+def tree_join(percent: int, best: int | None = None):
+    """Pairs of documents of a group that may link and are not of one component: all, or each document's best."""
     far = 1 << max(1, -(-100 // percent) - 1).bit_length()
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -404,14 +436,19 @@ def tree_join(percent: int):
                     continue
                 field = np.stack([folded(bits[i], int(size)) for i in own])
                 least = np.array([8 * len(bits[i]) == size for i in own])
-                for i, j in SignatureTree(n[own], comp[own], field, percent).pairs():
-                    ok = least[i] | least[j]  # pairs of larger sizes have a tree of their own
-                    out_a.append(rid[own[i[ok]]])
-                    out_b.append(rid[own[j[ok]]])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack((lo, hi), 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
+                got = list(SignatureTree(n[own], comp[own], field, percent).pairs())
+                if not got:
+                    continue
+                i, j, score = (np.concatenate(g) for g in zip(*got))
+                ok = least[i] | least[j]  # pairs of larger sizes have a tree of their own
+                if best is not None and ok.any():
+                    ok[ok] = foremost(i[ok], j[ok], score[ok], best)
+                out_a.append(rid[own[i[ok]]])
+                out_b.append(rid[own[j[ok]]])
+            if sum(map(len, out_a)) > 1_000_000:
+                out_a, out_b = map(list, zip(distinct(out_a, out_b)))
+        a, b = distinct(out_a, out_b)
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return run
 
@@ -448,10 +485,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     groups = rows.mapInArrow(prefixes(words, percent, buckets, heavy), "bucket int, blob binary").groupBy("bucket").applyInArrow(shared_prefixes, GROUPS)
     groups = kept(groups.withColumn("gid", F.xxhash64("members")).dropDuplicates(["gid"]), "jaccard-groups")
     member = groups.select("gid", F.explode("members").alias("rid"))
-    signed = reps.select("rid", "n", "bits").join(comp, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    leaves = member.join(signed, "rid").withColumn("bucket", F.pmod("gid", F.lit(max(64, 2 * buckets))))
-    pairs = leaves.groupBy("bucket").applyInArrow(tree_join(percent), "a bigint, b bigint")
-    more = verified(pairs, texts, words, percent)
+
+    def candidates(known: DataFrame, best: int | None) -> DataFrame:
+        signed = reps.select("rid", "n", "bits").join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        leaves = member.join(signed.select("rid", "comp"), "rid")
+        several = leaves.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+        leaves = member.join(several, "gid", "left_semi").join(signed, "rid").withColumn("bucket", F.pmod("gid", F.lit(max(64, 2 * buckets))))
+        return leaves.groupBy("bucket").applyInArrow(tree_join(percent, best), "a bigint, b bigint")
+
+    # the best candidates of each document join large groups of near copies; all that is left between components follows
+    links = kept(links.unionByName(verified(candidates(comp, BEST), texts, words, percent)), "jaccard-links")
+    more = verified(candidates(components(links), None), texts, words, percent)
     whole = components(links.unionByName(more))
 
     # back to the documents
