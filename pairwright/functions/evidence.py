@@ -353,8 +353,8 @@ def policy_scores(descriptor: Column, quality: Column, admissible: Column, revie
     return {
         "descriptor_only": descriptor,
         "quality_only": quality,
-        "pf_eri_admissibility": admissible,
-        "pf_eri_review_router": review,
+        "evidence_admissibility": admissible,
+        "evidence_review_router": review,
         "conflict_penalized_descriptor": F.greatest(F.lit(0.0), descriptor - 0.35 * conflict),
     }
 

@@ -288,13 +288,13 @@ def mt34(spark, sf):
     return q.groupBy("descriptor").agg(r6(F.avg("ceil")).alias("ceiling_"), r6(F.avg("top")).alias("top1"), r6(F.avg(c("ceil") - c("top"))).alias("gap"))
 
 
-_TRANS = "tr AS (SELECT a.query, CASE WHEN NOT a.same AND b.same THEN 'rescue' WHEN a.same AND NOT b.same THEN 'harm' WHEN a.same THEN 'both_true' ELSE 'both_false' END AS move, a.reliability, a.conflict FROM (SELECT * FROM reranked WHERE policy = 'descriptor_only' AND rk = 1) a JOIN (SELECT * FROM reranked WHERE policy = 'pf_eri_admissibility' AND rk = 1) b ON a.query = b.query)"
+_TRANS = "tr AS (SELECT a.query, CASE WHEN NOT a.same AND b.same THEN 'rescue' WHEN a.same AND NOT b.same THEN 'harm' WHEN a.same THEN 'both_true' ELSE 'both_false' END AS move, a.reliability, a.conflict FROM (SELECT * FROM reranked WHERE policy = 'descriptor_only' AND rk = 1) a JOIN (SELECT * FROM reranked WHERE policy = 'evidence_admissibility' AND rk = 1) b ON a.query = b.query)"
 
 
 def transitions(spark, sf):
     r = reranked(spark, sf).where("rk = 1")
     a = r.where("policy = 'descriptor_only'").select("query", c("same").alias("x"), "reliability", "conflict")
-    j = a.join(r.where("policy = 'pf_eri_admissibility'").select("query", c("same").alias("y")), "query")
+    j = a.join(r.where("policy = 'evidence_admissibility'").select("query", c("same").alias("y")), "query")
     return j.withColumn("move", F.when(~c("x") & c("y"), "rescue").when(c("x") & ~c("y"), "harm").when(c("x"), "both_true").otherwise("both_false"))
 
 

@@ -404,8 +404,8 @@ def policies(df):
 
 cte(
     "policies",
-    """SELECT *, 'descriptor_only' AS policy, pct AS score FROM scored UNION ALL SELECT *, 'quality_only', weakest FROM scored UNION ALL SELECT *, 'pf_eri_admissibility', admissible FROM scored
- UNION ALL SELECT *, 'pf_eri_review_router', review FROM scored UNION ALL SELECT *, 'conflict_penalized_descriptor', greatest(0, pct - 0.35 * conflict) FROM scored""",
+    """SELECT *, 'descriptor_only' AS policy, pct AS score FROM scored UNION ALL SELECT *, 'quality_only', weakest FROM scored UNION ALL SELECT *, 'evidence_admissibility', admissible FROM scored
+ UNION ALL SELECT *, 'evidence_review_router', review FROM scored UNION ALL SELECT *, 'conflict_penalized_descriptor', greatest(0, pct - 0.35 * conflict) FROM scored""",
     "scored",
 )
 
