@@ -10,14 +10,16 @@ the whole texts.
    with the first of their group only. This joins groups of near copies in linear work.
 3. Prefixes: in any fixed order of n-grams, linked sets share one of their first
    n - ceil(t * n) + 1. The order puts n-grams of heavy counters of a fixed-size sketch last. N-grams that are
-   prefix members of several documents, not all of one component, become groups.
+   prefix members of several documents, not all of one component, become groups. Members with no
+   other of a size that could link leave; groups with the same first document and nearly the
+   same others become one, so few bitmaps travel.
 4. Signature trees: a group's documents are leaves with token bitmaps; nodes hold the OR of
    their leaves' bitmaps, the range of sizes and of bit counts, and the component if there
    is just one. A dual traversal prunes node pairs whose maximum possible overlap is below
    what the threshold needs, or whose leaves are one component already.
 5. Pairs that are left are verified; links give the components. Each document's best pairs go
    first: they join large groups of near copies, so few pairs between components are left
-   for the second pass, which takes all of them.
+   for the second pass, which takes all of them in the groups where pairs were put off.
 
 Defined results: words are white-space separated and A-Z is folded; a text of fewer words
 than n is one n-gram; null, empty and word-free texts have no set, link with nothing and
@@ -51,6 +53,8 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Bytes of text for each bucket of prefixes.
 BUCKET_BYTES = 8_000_000
 LEAF = 8
+#: Groups of one first document become one if it has no more members than this, or a quarter more than the largest of them.
+SMALL_GROUP = 32
 _U = np.uint64
 
 
@@ -90,8 +94,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
 
 
 def bitmap_bits(n: int) -> int:
-    """8 to 16 bits for each n-gram: then few n-grams share a bit, and the bound on an overlap is close to it."""
-    return min(1 << 20, max(64, 1 << (8 * int(n) - 1).bit_length()))
+    """4 to 8 bits for each n-gram: then few n-grams share a bit, and the bound on an overlap is close to it."""
+    return min(1 << 19, max(64, 1 << (4 * int(n) - 1).bit_length()))
 
 
 # ---------------------------------------------------------------- one row for each document
@@ -236,21 +240,21 @@ _PREFIX = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 def prefixes(words: int, percent: int, buckets: int, heavy):
     """mapInArrow function: prefix n-grams of (rid, comp, text), packed by bucket."""
 
-    def pack(press, h, number, rid, comp):
+    def pack(press, h, number, rid, comp, n):
         """5 bytes of each hash, its document's place in a table of ids."""
         used, place = np.unique(number, return_inverse=True)
         five = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
         head = np.array([len(h), len(used)], "<u4").tobytes()
-        return head + press.compress(rid[used].astype("<i8").tobytes() + comp[used].astype("<i8").tobytes() + np.ascontiguousarray(five.T).tobytes() + place.astype("<u4").tobytes())
+        return head + press.compress(rid[used].astype("<i8").tobytes() + comp[used].astype("<i8").tobytes() + n[used].astype("<i8").tobytes() + np.ascontiguousarray(five.T).tobytes() + place.astype("<u4").tobytes())
 
     def emit(press, held):
         h, number = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-        rid, comp = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+        rid, comp, n = (np.concatenate([x[k] for x in held]) for k in (2, 3, 4))
         bucket = ((h >> _U(40)) % _U(buckets)).astype(np.int64)
         order = np.lexsort((number, bucket))
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         ids = [int(bucket[order[x]]) for x in cut[:-1]]
-        blobs = [pack(press, h[order[x:y]], number[order[x:y]], rid, comp) for x, y in zip(cut[:-1], cut[1:])]
+        blobs = [pack(press, h[order[x:y]], number[order[x:y]], rid, comp, n) for x, y in zip(cut[:-1], cut[1:])]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], schema=_PREFIX)
 
     def run(batches):
@@ -265,7 +269,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
                 order = np.lexsort((h, load[(h >> _U(46)).astype(np.int64)], t))
                 rank = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n)
                 first = rank < np.repeat(n - (percent * n + 99) // 100 + 1, n)
-                held.append((h[order][first], t[order][first] + shift, rid[a:b], comp[a:b]))
+                held.append((h[order][first], t[order][first] + shift, rid[a:b], comp[a:b], n))
                 shift += b - a
                 size += int(first.sum())
                 if size > 2_000_000:
@@ -280,32 +284,69 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
 GROUPS = "members array<bigint>"
 
 
-def shared_prefixes(table: pa.Table) -> pa.Table:
-    """Documents that share a prefix n-gram and are not all of one component."""
-    expand = zstandard.ZstdDecompressor()
-    hs, rids, comps = [], [], []
-    for blob in table.column("blob").to_pylist():
-        m, k = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-        data = expand.decompress(blob[8:])
-        rid, comp = np.frombuffer(data, "<i8", k), np.frombuffer(data, "<i8", k, 8 * k)
-        eight = np.zeros((m, 8), np.uint8)
-        eight[:, :5] = np.frombuffer(data, np.uint8, 5 * m, 16 * k).reshape(5, m).T
-        place = np.frombuffer(data, "<u4", m, 16 * k + 5 * m)
-        hs.append(eight.view("<u8").ravel())
-        rids.append(rid[place])
-        comps.append(comp[place])
-    h, rid, comp = (np.concatenate(x) for x in (hs, rids, comps))
-    order = np.lexsort((rid, h))
-    h, rid, comp = h[order], rid[order], comp[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    at = np.flatnonzero(new)
-    good = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
-    size = np.diff(np.append(at, len(h)))
-    take = np.repeat(good, size)
-    ends = np.concatenate(([0], np.cumsum(size[good]))).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(rid[take]))
-    return pa.Table.from_arrays([lists], names=["members"])
+def lists(members: np.ndarray, size: np.ndarray) -> pa.Table:
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Table.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(members))], names=["members"])
+
+
+def shared_prefixes(percent: int):
+    """applyInArrow function: documents that share a prefix n-gram and are not all of one component, without those of a size far from all others'."""
+
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        parts = []
+        for blob in table.column("blob").to_pylist():
+            m, k = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+            data = expand.decompress(blob[8:])
+            rid, comp, n = np.frombuffer(data, "<i8", 3 * k).reshape(3, k)
+            eight = np.zeros((m, 8), np.uint8)
+            eight[:, :5] = np.frombuffer(data, np.uint8, 5 * m, 24 * k).reshape(5, m).T
+            place = np.frombuffer(data, "<u4", m, 24 * k + 5 * m)
+            parts.append((eight.view("<u8").ravel(), rid[place], comp[place], n[place]))
+        h, rid, comp, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((rid, n, h))
+        h, rid, comp, n = h[order], rid[order], comp[order], n[order]
+        # by size, a member has a partner if a neighbour is one
+        near = np.zeros(len(h), bool)
+        near[1:] = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        alone = ~near
+        alone[:-1] &= ~near[1:]
+        # a chain of sizes is a group: between chains nothing links
+        new = ~near[~alone]
+        rid, comp = rid[~alone], comp[~alone]
+        if not len(rid):
+            return lists(rid, rid)
+        at = np.flatnonzero(new)
+        chain = np.cumsum(new)
+        good = np.minimum.reduceat(comp, at) != np.maximum.reduceat(comp, at)
+        size = np.diff(np.append(at, len(rid)))
+        order = np.lexsort((rid, chain))
+        return lists(rid[order][np.repeat(good, size)], size[good])
+
+    return run
+
+
+def merged_groups(table: pa.Table) -> pa.Table:
+    """Groups of the same first document that have nearly the same members, as one; every two members of a group stay in one."""
+    by_lead: dict[int, list[np.ndarray]] = {}
+    column = table.column("members").combine_chunks()
+    values, ends = column.flatten().to_numpy(), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+    for x, y in zip(ends[:-1], ends[1:]):
+        by_lead.setdefault(int(values[x]), []).append(values[x:y])
+    out = []
+    for groups in by_lead.values():
+        groups.sort(key=len, reverse=True)
+        wide: list[list] = []  # [members, most members it may get]
+        for g in groups:
+            for w in wide[-16:]:
+                both = np.union1d(w[0], g)
+                if len(both) <= w[1]:
+                    w[0] = both
+                    break
+            else:
+                wide.append([g, max(SMALL_GROUP, len(g) + len(g) // 4)])
+        out.extend(w[0] for w in wide)
+    return lists(np.concatenate(out), np.array([len(w) for w in out]))
 
 
 # ---------------------------------------------------------------- signature trees
@@ -415,16 +456,16 @@ def foremost(i: np.ndarray, j: np.ndarray, score: np.ndarray, best: int) -> np.n
 
 
 def tree_join(percent: int, best: int | None = None):
-    """Pairs of documents of a group that may link and are not of one component: all, or each document's best."""
+    """Pairs (a, b) of documents of a group that may link and are not of one component: all, or each document's best;
+    then a row (null, null, gid) names a group that has others."""
     far = 1 << max(1, -(-100 // percent) - 1).bit_length()
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         gid, rid, n, comp = (table.column(k).to_numpy() for k in ("gid", "rid", "n", "comp"))
         bits = table.column("bits").to_pylist()
         order = np.lexsort((rid, gid))
         cut = np.flatnonzero(np.diff(gid[order], prepend=gid[order[0]] - 1, append=gid[order[-1]] + 1))
-        out_a, out_b = [], []
+        out_a, out_b, put_off = [], [], set()
         for x, y in zip(cut[:-1], cut[1:]):
             rows = order[x:y]
             sizes = np.array([8 * len(bits[i]) for i in rows])
@@ -442,13 +483,19 @@ def tree_join(percent: int, best: int | None = None):
                 i, j, score = (np.concatenate(g) for g in zip(*got))
                 ok = least[i] | least[j]  # pairs of larger sizes have a tree of their own
                 if best is not None and ok.any():
-                    ok[ok] = foremost(i[ok], j[ok], score[ok], best)
+                    first = foremost(i[ok], j[ok], score[ok], best)
+                    if not first.all():
+                        put_off.add(int(gid[rows[0]]))
+                    ok[ok] = first
                 out_a.append(rid[own[i[ok]]])
                 out_b.append(rid[own[j[ok]]])
             if sum(map(len, out_a)) > 1_000_000:
                 out_a, out_b = map(list, zip(distinct(out_a, out_b)))
         a, b = distinct(out_a, out_b)
-        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+        more = sorted(put_off)
+        none = pa.nulls(len(more), pa.int64())
+        columns = [pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more, pa.int64())])]
+        return pa.Table.from_arrays(columns, names=["a", "b", "gid"])
 
     return run
 
@@ -463,7 +510,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     base = kept(texts.mapInArrow(facts(words), FACTS), "jaccard-facts")
     key = ["n", "d1", "d2"]
     sets = base.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep"))
-    reps = kept(base.join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi"), "jaccard-sets")
+    reps = kept(base.select("rid", "n", "stars").join(sets.select(F.col("rep").alias("rid")), "rid", "left_semi"), "jaccard-sets")
     texts = texts.select("rid", "text")
 
     # stars
@@ -482,20 +529,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     odd = base.where("n > 0").select("rid").join(reps.select("rid"), "rid", "left_anti").select("rid", F.lit(True).alias("copy"), F.lit(None).cast("bigint").alias("comp"))
     odd = kept(odd.unionByName(comp.select("rid", F.lit(False).alias("copy"), "comp")), "jaccard-odd")
     rows = with_ids(texts, odd, "left").where(F.coalesce("copy", F.lit(False)) == F.lit(False)).select("rid", F.coalesce("comp", "rid").alias("comp"), "text")
-    groups = rows.mapInArrow(prefixes(words, percent, buckets, heavy), "bucket int, blob binary").groupBy("bucket").applyInArrow(shared_prefixes, GROUPS)
-    groups = kept(groups.withColumn("gid", F.xxhash64("members")).dropDuplicates(["gid"]), "jaccard-groups")
-    member = groups.select("gid", F.explode("members").alias("rid"))
+    groups = rows.mapInArrow(prefixes(words, percent, buckets, heavy), "bucket int, blob binary").groupBy("bucket").applyInArrow(shared_prefixes(percent), GROUPS)
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64(F.col("members")[0]), F.lit(buckets))).groupBy("bucket").applyInArrow(merged_groups, GROUPS)
+    groups = kept(groups.withColumn("gid", F.xxhash64("members")), "jaccard-groups")
 
-    def candidates(known: DataFrame, best: int | None) -> DataFrame:
-        signed = reps.select("rid", "n", "bits").join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-        leaves = member.join(signed.select("rid", "comp"), "rid")
-        several = leaves.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-        leaves = member.join(several, "gid", "left_semi").join(signed, "rid").withColumn("bucket", F.pmod("gid", F.lit(max(64, 2 * buckets))))
-        return leaves.groupBy("bucket").applyInArrow(tree_join(percent, best), "a bigint, b bigint")
+    def candidates(groups: DataFrame, known: DataFrame, best: int | None) -> DataFrame:
+        member = groups.select("gid", F.explode("members").alias("rid")).join(known, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+        several = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+        member = kept(member.join(several, "gid", "left_semi"), "jaccard-members")
+        leaves = member.join(base.select("rid", "n", "bits"), "rid").withColumn("bucket", F.pmod("gid", F.lit(max(64, 2 * buckets))))
+        return kept(leaves.groupBy("bucket").applyInArrow(tree_join(percent, best), "a bigint, b bigint, gid bigint"), "jaccard-found")
 
     # the best candidates of each document join large groups of near copies; all that is left between components follows
-    links = kept(links.unionByName(verified(candidates(comp, BEST), texts, words, percent)), "jaccard-links")
-    more = verified(candidates(components(links), None), texts, words, percent)
+    found = candidates(groups, comp, BEST)
+    links = kept(links.unionByName(verified(found.where("a is not null"), texts, words, percent)), "jaccard-links")
+    rest = groups.join(found.where("gid is not null").select("gid"), "gid", "left_semi")
+    more = verified(candidates(rest, components(links), None), texts, words, percent)
     whole = components(links.unionByName(more))
 
     # back to the documents

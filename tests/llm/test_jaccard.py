@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,19 @@ def test_one_of_each(edge):
 
 def test_empty(empty):
     assert J.near_duplicates(empty).count() == 0 and J.one_of_each(empty).count() == 0
+
+
+def test_merged_groups_keep_every_two_members_together():
+    g = random.Random(3)
+    groups = [sorted(g.sample(range(90), g.randint(2, 60))) for _ in range(300)]
+    table = J.lists(np.array([x for m in groups for x in m]), np.array([len(m) for m in groups]))
+    out = [set(m) for m in J.merged_groups(table).column("members").to_pylist()]
+    assert all(any(set(m) <= w for w in out) for m in groups) and len(out) < len(groups)
+
+
+@pytest.mark.parametrize("best", [1, 8])
+def test_pairs_put_off_are_found_in_the_second_pass(make, monkeypatch, best):
+    monkeypatch.setattr(J, "BEST", best)
+    rows = corpus()
+    got = J.near_duplicates(make([(d, t, "en", "a") for d, t in rows]), percent=50, stars=0).collect()
+    assert sorted(((r.doc_id, r.n, r.component_id) for r in got), key=str) == brute(rows, 50)
