@@ -4,9 +4,11 @@ Counting covers every training text: words and pairs of neighbouring words, hash
 bits, are summed by task, sent to buckets as packed blocks and summed there. Counts are
 quantised by a codebook that grows geometrically; an n-gram with the q-th value of the
 codebook enters the filter q times, as (n-gram, 1) to (n-gram, q), so its count is read back
-by probing until a probe fails. The filter is cut into segments that are built on their
-own; its size is fixed (FILTER_BITS) and it is broadcast. Where the counts would overfill
-it, pairs (and then words) below the smallest count that fits stay out.
+by probing until a probe fails. The filter is cut into segments by hash, pairs apart from
+words and context sums; each segment is built on its own and is as large as its counts
+need, so nothing stays out. Up to FILTER_BITS the filter is broadcast; beyond, blocks of
+texts send the distinct n-grams that they ask for to the segments in a shuffled join and
+get the counts back. Both ways give the same scores.
 
 A text's score is the log10 probability of its words and one end under a pair model with
 absolute discounting that falls back to single words with add-one smoothing; all the counts
@@ -29,14 +31,17 @@ from pyspark.sql import functions as F
 
 from .common import Block, blocks, held_out, kept, mix
 
-#: Bits of the filter, in SEGMENTS parts of equal size.
+#: Bits of a filter that is broadcast at most.
 FILTER_BITS = 1 << 28
+#: Segments of the pairs, and as many of words and context sums; more where there are more buckets of counts.
 SEGMENTS = 256
 PROBES = 5
 #: Words whose exact counts are broadcast at most (12 bytes each).
 MAX_WORDS = 2_000_000
 #: Bytes of text for each bucket of counts.
 BUCKET_BYTES = 16_000_000
+#: Bytes of text that ask the segments together.
+ASK_BYTES = 4_000_000
 DISCOUNT = 0.5
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 _W40 = np.uint64((1 << 40) - 1)
@@ -72,7 +77,8 @@ def sequences(texts: list[bytes]):
 
 
 def pair_key(context: np.ndarray, w40: np.ndarray) -> np.ndarray:
-    return mix(context * _U(3) + w40 + _U(0xB1))
+    """The upper 24 bits, which choose bucket and segment, spread a context's pairs over 16 places at most."""
+    return (mix(context + (w40 & _U(15))) & ~_W40) | (mix(context * _U(3) + w40 + _U(0xB1)) & _W40)
 
 
 def word_key(w: np.ndarray) -> np.ndarray:
@@ -90,8 +96,8 @@ def kinds_key(w: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- counting
 
 _BLOBS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
-COUNTS = "kind int, ctx bigint, w bigint, n bigint, q int"
-_COUNTS = pa.schema([("kind", pa.int32()), ("ctx", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("q", pa.int32())])
+COUNTS = "kind int, w bigint, n bigint, q int, bits binary"
+_COUNTS = pa.schema([("kind", pa.int32()), ("w", pa.int64()), ("n", pa.int64()), ("q", pa.int32()), ("bits", pa.binary())])
 
 
 def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray | None):
@@ -132,7 +138,7 @@ def tally(buckets: int, flush: int = 1_500_000):
             ids.append(int(bucket[i[0]]))
             blobs.append(np.array([len(i)], "<u4").tobytes() + press.compress(w[i].astype("<u8").tobytes() + n[i].astype("<u4").tobytes()))
         c, v, n = summed(ctx, token & _W40, None)
-        bucket = (mix(c + (v & _U(15))) % _U(buckets)).astype(np.int64)
+        bucket = segment_of(pair_key(c, v), buckets)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         for x, y in zip(cut[:-1], cut[1:]):
@@ -158,107 +164,160 @@ def tally(buckets: int, flush: int = 1_500_000):
     return run
 
 
-def total(table: pa.Table) -> pa.Table:
-    """The sums of one bucket: all words, and pairs that occur twice or more, with their quantised counts."""
-    expand = zstandard.ZstdDecompressor()
-    kind = table.column("kind")[0].as_py()
-    cs, ws, ns = [], [], []
-    for blob in table.column("blob").to_pylist():
+def counts_of(kind: int, w: np.ndarray, n: np.ndarray, q: np.ndarray | None = None, bits: list[bytes] | None = None) -> pa.Table:
+    q = np.zeros(len(w), np.int32) if q is None else q.astype(np.int32)
+    bits = pa.nulls(len(w), pa.binary()) if bits is None else pa.array(bits, pa.binary())
+    return pa.Table.from_arrays([pa.array(np.full(len(w), kind, np.int32)), pa.array(w.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64)), pa.array(q), bits], schema=_COUNTS)
+
+
+def total(segments: int):
+    """The sums of one bucket: counts of words (kind 0), or segments of the pairs (kind 1) with the bucket's share of each context's count of pairs (2) and of different pairs (3)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        expand = zstandard.ZstdDecompressor()
+        kind = table.column("kind")[0].as_py()
+        cs, ws, ns = [], [], []
+        for blob in table.column("blob").to_pylist():
+            if kind == 0:
+                m = int.from_bytes(blob[:4], "little")
+                data = expand.decompress(blob[4:])
+                ws.append(np.frombuffer(data, "<u8", m))
+                ns.append(np.frombuffer(data, "<u4", m, 8 * m).astype(np.int64))
+            else:
+                m, r = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+                data = expand.decompress(blob[8:])
+                cs.append(np.repeat(np.frombuffer(data, "<u8", r), np.frombuffer(data, "<u4", r, 8 * r)))
+                five = np.frombuffer(data, np.uint8, 5 * m, 12 * r).reshape(5, m)
+                eight = np.zeros((m, 8), np.uint8)
+                eight[:, :5] = five.T
+                ws.append(eight.view("<u8").ravel())
+                ns.append(np.frombuffer(data, "<u4", m, 12 * r + 5 * m).astype(np.int64))
+        w, n = np.concatenate(ws), np.concatenate(ns)
         if kind == 0:
-            m = int.from_bytes(blob[:4], "little")
-            data = expand.decompress(blob[4:])
-            ws.append(np.frombuffer(data, "<u8", m))
-            ns.append(np.frombuffer(data, "<u4", m, 8 * m).astype(np.int64))
-        else:
-            m, r = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-            data = expand.decompress(blob[8:])
-            cs.append(np.repeat(np.frombuffer(data, "<u8", r), np.frombuffer(data, "<u4", r, 8 * r)))
-            five = np.frombuffer(data, np.uint8, 5 * m, 12 * r).reshape(5, m)
-            eight = np.zeros((m, 8), np.uint8)
-            eight[:, :5] = five.T
-            ws.append(eight.view("<u8").ravel())
-            ns.append(np.frombuffer(data, "<u4", m, 12 * r + 5 * m).astype(np.int64))
-    w, n = np.concatenate(ws), np.concatenate(ns)
-    if kind == 0:
-        w, _, n = summed(w, w, n)
-        c = np.zeros(len(w), np.uint64)
-        q = np.searchsorted(WORD_CODE, n, side="right")
-    else:
+            w, _, n = summed(w, w, n)
+            return counts_of(0, w, n, np.searchsorted(WORD_CODE, n, side="right"))
         c, w, n = summed(np.concatenate(cs), w, n)
         often = n >= PAIR_CODE[0]
         c, w, n = c[often], w[often], n[often]
-        q = np.searchsorted(PAIR_CODE, n, side="right")
-    return pa.Table.from_arrays([pa.array(np.full(len(w), kind, np.int32)), pa.array(c.astype(np.uint64).view(np.int64)), pa.array(w.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64)), pa.array(q.astype(np.int32))], schema=_COUNTS)
+        if not len(c):
+            return counts_of(1, c, n)
+        at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        sums = [counts_of(2, c[at], np.add.reduceat(n, at)), counts_of(3, c[at], np.diff(np.append(at, len(c))))]
+        h, q = pair_key(c, w), np.searchsorted(PAIR_CODE, n, side="right")
+        segment = segment_of(h, segments)
+        order = np.argsort(segment, kind="stable")
+        cut = np.flatnonzero(np.diff(segment[order], prepend=-1, append=-1))
+        ids = segment[order][cut[:-1]].astype(np.uint64)
+        fields = [filled(h[order[x:y]], q[order[x:y]]) for x, y in zip(cut[:-1], cut[1:])]
+        return pa.concat_tables([*sums, counts_of(1, ids, np.diff(cut), bits=fields)])
+
+    return run
 
 
 # ---------------------------------------------------------------- the filter
 
 
-def places(h: np.ndarray, level: int, bits: int):
-    """Bit addresses of (item, level), a row for each probe."""
-    size = bits // SEGMENTS
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    """The segment by an item's upper bits; segments is a power of two."""
+    return (h >> _U(65 - segments.bit_length())).astype(np.int64)
+
+
+def places(h: np.ndarray, level: int, mask):
+    """Bit addresses of (item, level) in its segment, a row for each probe."""
     x = mix(h + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    a, b = x & _U(size - 1), (x >> _U(32)) | _U(1)
-    base = (h >> _U(56)) * _U(size)
+    a, b = x & mask, (x >> _U(32)) | _U(1)
     for i in range(PROBES):
-        yield base + ((a + _U(i) * b) & _U(size - 1))
+        yield (a + _U(i) * b) & mask
+
+
+def filled(h: np.ndarray, q: np.ndarray, size: int = 0) -> bytes:
+    """A segment of the filter; without a size the next power of two that its counts need."""
+    size = size or max(64, 1 << int(q.sum() * PROBES / 0.69).bit_length())
+    field = np.zeros(size, bool)
+    level = 1
+    while len(h):
+        for p in places(h, level, _U(size - 1)):
+            field[p.astype(np.int64)] = True
+        level += 1
+        more = q >= level
+        h, q = h[more], q[more]
+    return np.packbits(field, bitorder="little").tobytes()
 
 
-def items(batches):
-    """(segment, item, q) of counted words and pairs and of context sums."""
+def items(segments: int):
+    """mapInArrow function: (segment, item, q) of counted words and context sums. Their segments follow those of the pairs."""
     schema = pa.schema([("segment", pa.int32()), ("h", pa.int64()), ("q", pa.int32())])
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        c, w, n, q = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("ctx", "w", "n", "q"))
-        c, w = c.view(np.uint64), w.view(np.uint64)
-        h = np.select([kind == 0, kind == 1, kind == 2], [word_key(w), pair_key(c, w), mass_key(c)], kinds_key(c))
-        q = np.where(kind < 2, q, np.searchsorted(WORD_CODE, n, side="right")).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array((h >> _U(56)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(q)], schema=schema)
+
+    def run(batches):
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            w, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("w", "n"))
+            w = w.view(np.uint64)
+            h = np.select([kind == 0, kind == 2], [word_key(w), mass_key(w)], kinds_key(w))
+            q = np.searchsorted(WORD_CODE, n, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((segment_of(h, segments) + segments).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(q)], schema=schema)
+
+    return run
 
 
-def segment_bits(bits: int):
+def segment_bits(bits: int = 0):
     schema = pa.schema([("segment", pa.int32()), ("bytes", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        size = bits // SEGMENTS
-        h = table.column("h").to_numpy().view(np.uint64)
-        q = table.column("q").to_numpy()
-        field = np.zeros(size // 8, np.uint8)
-        level = 1
-        while len(h):
-            for p in places(h, level, bits):
-                p = (p & _U(size - 1)).astype(np.int64)
-                np.bitwise_or.at(field, p >> 3, (1 << (p & 7)).astype(np.uint8))
-            level += 1
-            more = q >= level
-            h, q = h[more], q[more]
-        return pa.Table.from_arrays([table.column("segment").slice(0, 1).combine_chunks(), pa.array([field.tobytes()], pa.binary())], schema=schema)
+        field = filled(table.column("h").to_numpy().view(np.uint64), table.column("q").to_numpy(), bits // SEGMENTS)
+        return pa.Table.from_arrays([table.column("segment").slice(0, 1).combine_chunks(), pa.array([field], pa.binary())], schema=schema)
 
     return run
 
 
 class Filter:
-    def __init__(self, field: np.ndarray, bits: int):
-        self.field, self.bits = field, bits
+    """Segments one behind the other, of the same size or of `sizes` bits (0: nothing in it)."""
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def __init__(self, field: np.ndarray, bits: int, sizes: np.ndarray | None = None, segments: int = SEGMENTS):
+        self.field, self.segments = field, segments
+        self.sizes = np.full(segments, bits // segments, np.int64) if sizes is None else sizes
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def levels(self, h: np.ndarray, first: int = 0) -> np.ndarray:
         """The quantised count of each item: probes (item, 1), (item, 2) ... until one fails."""
+        segment = segment_of(h, self.segments) + first if self.segments > 1 else np.zeros(len(h), np.int64)
         out = np.zeros(len(h), np.int32)
-        size = self.bits // SEGMENTS
-        at, level = np.arange(len(h)), 1
+        at, level = np.flatnonzero(self.sizes[segment] > 0), 1
+        start, mask = self.starts[segment[at]].astype(np.uint64), (self.sizes[segment[at]] - 1).astype(np.uint64)
         while len(at):
             x = mix(h[at] + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            a, b = x & _U(size - 1), (x >> _U(32)) | _U(1)
-            base = (h[at] >> _U(56)) * _U(size)
+            a, b = x & mask, (x >> _U(32)) | _U(1)
             for i in range(PROBES):
-                p = base + ((a + _U(i) * b) & _U(size - 1))
+                p = start + ((a + _U(i) * b) & mask)
                 ok = (self.field[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
                 if not ok.all():
-                    at, a, b, base = at[ok], a[ok], b[ok], base[ok]
+                    at, a, b, start, mask = at[ok], a[ok], b[ok], start[ok], mask[ok]
             out[at] += 1
             level += 1
         return out
 
+    def pairs(self, h: np.ndarray) -> np.ndarray:
+        return self.levels(h)
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        return self.levels(h, self.segments)
+
+
+class Answers:
+    """What the segments answered to one block of texts: levels of pairs and of words by item."""
+
+    def __init__(self, asked, levels: dict):
+        self.asked = []
+        for h, segment, cut in asked:
+            got = [np.frombuffer(levels[int(segment[x])], np.uint8) for x in cut[:-1]]
+            self.asked.append((h, np.concatenate(got).astype(np.int32)))
+
+    def pairs(self, h: np.ndarray) -> np.ndarray:
+        return self.asked[0][1][np.searchsorted(self.asked[0][0], h)]
+
+    def words(self, h: np.ndarray) -> np.ndarray:
+        return self.asked[1][1][np.searchsorted(self.asked[1][0], h)]
+
 
 def low(code: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, code[np.maximum(q - 1, 0)], 0).astype(np.float64)
@@ -274,88 +333,151 @@ SCORED = "rid bigint, n_tokens bigint, n_known bigint, log_sum double, score dou
 _SCORED = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64()), ("tail_h", pa.list_(pa.int64())), ("tail_n", pa.list_(pa.int32()))])
 
 
+def rated(texts: list[bytes], rid: np.ndarray, model, look) -> pa.RecordBatch:
+    """Scores of texts. model: (words, counts, complete, N, V); look: a Filter or Answers."""
+    words, counts, complete, n_all, kinds = model
+    floor = float(n_all + kinds + 1)
+    context, token, n = sequences(texts)
+    text = np.repeat(np.arange(len(n)), n)
+    u, number = np.unique(np.append(token, START), return_inverse=True)
+    start_number, number = number[-1], number[:-1]
+    before = np.empty_like(number)
+    before[1:] = number[:-1]
+    before[np.cumsum(n) - n] = start_number
+    # exact counts of the words that are broadcast
+    at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
+    known = words[at] == u if len(words) else np.zeros(len(u), bool)
+    c = np.where(known, counts[at], 0) if len(words) else np.zeros(len(u), np.int64)
+    settled = known | complete
+    per_word = np.where(settled, np.log10(c + 1.0), 0.0)
+    log_sum = np.bincount(text, weights=per_word[number], minlength=len(n))
+    n_known = np.bincount(text, weights=(c > 0)[number], minlength=len(n)).astype(np.int64)
+    # the model: everything from probes
+    qw, qm, qk = (look.words(f(u)) for f in (word_key, mass_key, kinds_key))
+    single = (low(WORD_CODE, qw) + 1) / floor
+    times = np.maximum(high(WORD_CODE, qw), 1.0)
+    rest = np.where(qw > 0, np.clip(1 - (high(WORD_CODE, qm) - DISCOUNT * low(WORD_CODE, qk)) / times, 1e-3, 1.0), 1.0)
+    pair = low(PAIR_CODE, look.pairs(pair_key(context, token & _W40)))
+    p = np.maximum(pair - DISCOUNT, 0) / times[before] + rest[before] * single[number]
+    score = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=len(n))
+    loose = np.flatnonzero(~settled[number])
+    if len(loose):
+        t_text, t_word, t_n = summed(text[loose].astype(np.int64), number[loose].astype(np.int64), None)
+        offsets = np.searchsorted(t_text, np.arange(len(n) + 1)).astype(np.int32)
+        tail_h, tail_n = u[t_word].view(np.int64), t_n.astype(np.int32)
+    else:
+        offsets, tail_h, tail_n = np.zeros(len(n) + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (tail_h, tail_n)]
+    return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(log_sum), pa.array(score), *lists], schema=_SCORED)
+
+
 def scorer(model):
-    """mapInArrow function. model: broadcast (words, counts, complete, field, bits, N, V)."""
+    """mapInArrow function with the filter broadcast. model: broadcast (model of rated, field, sizes, segments)."""
 
     def run(batches):
-        words, counts, complete, field, bits, n_all, kinds = model.value
-        bloom = Filter(np.frombuffer(field, np.uint8), bits)
-        floor = float(n_all + kinds + 1)
+        own, field, sizes, segments = model.value
+        bloom = Filter(np.frombuffer(field, np.uint8), 0, sizes, segments)
         for batch in batches:
             rid = batch.column("rid").to_numpy(zero_copy_only=False)
             for a, b, texts in blocks(batch, 1_000_000):
-                context, token, n = sequences(texts)
-                text = np.repeat(np.arange(len(n)), n)
-                u, number = np.unique(np.append(token, START), return_inverse=True)
-                start_number, number = number[-1], number[:-1]
-                before = np.empty_like(number)
-                before[1:] = number[:-1]
-                before[np.cumsum(n) - n] = start_number
-                # exact counts of the words that are broadcast
-                at = np.minimum(np.searchsorted(words, u), max(len(words) - 1, 0))
-                known = words[at] == u if len(words) else np.zeros(len(u), bool)
-                c = np.where(known, counts[at], 0) if len(words) else np.zeros(len(u), np.int64)
-                settled = known | complete
-                per_word = np.where(settled, np.log10(c + 1.0), 0.0)
-                log_sum = np.bincount(text, weights=per_word[number], minlength=len(n))
-                n_known = np.bincount(text, weights=(c > 0)[number], minlength=len(n)).astype(np.int64)
-                # the model: everything from probes
-                qw, qm, qk = (bloom.levels(f(u)) for f in (word_key, mass_key, kinds_key))
-                single = (low(WORD_CODE, qw) + 1) / floor
-                times = np.maximum(high(WORD_CODE, qw), 1.0)
-                rest = np.where(qw > 0, np.clip(1 - (high(WORD_CODE, qm) - DISCOUNT * low(WORD_CODE, qk)) / times, 1e-3, 1.0), 1.0)
-                pair = low(PAIR_CODE, bloom.levels(pair_key(context, token & _W40)))
-                p = np.maximum(pair - DISCOUNT, 0) / times[before] + rest[before] * single[number]
-                score = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=len(n))
-                loose = np.flatnonzero(~settled[number])
-                if len(loose):
-                    t_text, t_word, t_n = summed(text[loose].astype(np.int64), number[loose].astype(np.int64), None)
-                    offsets = np.searchsorted(t_text, np.arange(len(n) + 1)).astype(np.int32)
-                    tail_h, tail_n = u[t_word].view(np.int64), t_n.astype(np.int32)
-                else:
-                    offsets, tail_h, tail_n = np.zeros(len(n) + 1, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (tail_h, tail_n)]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[a:b]), pa.array(n.astype(np.int64)), pa.array(n_known), pa.array(log_sum), pa.array(score), *lists], schema=_SCORED)
+                yield rated(texts, rid[a:b], own, bloom)
 
     return run
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """kind, ctx, w, n, q: counts of all words (kind 0) and of all pairs that occur twice or more (kind 1). train: text."""
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size // BUCKET_BYTES))
-    blobs = train.select("text").mapInArrow(tally(int(buckets)), "kind int, bucket int, blob binary")
-    return kept(blobs.groupBy("kind", "bucket").applyInArrow(total, COUNTS), "lm-counts")
+def packed(batches):
+    """mapInArrow function: texts as blocks that are numbered by task."""
+    from pyspark import TaskContext
+
+    task, k = TaskContext.get().partitionId(), 0
+    press = zstandard.ZstdCompressor(level=1)
+    schema = pa.schema([("block", pa.int64()), ("rids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+    for batch in batches:
+        rid = batch.column("rid").to_numpy(zero_copy_only=False)
+        for a, b, texts in blocks(batch, ASK_BYTES):
+            row = [(task << 32) + k], [rid[a:b].astype("<i8").tobytes()], [np.array([len(t) for t in texts], "<i8").tobytes()], [press.compress(b"".join(texts))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
+            k += 1
+
+
+def unpacked(sizes: bytes, texts: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(texts)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def build_filter(counts: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """The filter's bytes. Pairs, then words, with the smallest counts stay out as far as the filter would be overfull."""
-    room = int(bits * 0.69 / PROBES)
-    sizes = {(r["kind"], r["q"]): r["c"] for r in counts.groupBy("kind", "q").agg(F.count(F.lit(1)).alias("c")).collect()}  # codebook levels, not n-grams
-    floors = {0: 1, 1: 1}
+def wanted(texts: list[bytes], segments: int):
+    """What a block asks: distinct items of pairs and of words, ordered, their segments, and where each segment starts."""
+    context, token, _ = sequences(texts)
+    u = np.unique(np.append(token, START))
+    for first, h in (0, pair_key(context, token & _W40)), (segments, np.concatenate([f(u) for f in (word_key, mass_key, kinds_key)])):
+        h = np.unique(h)
+        segment = segment_of(h, segments) + first
+        yield h, segment, np.flatnonzero(np.diff(segment, prepend=-1, append=-1))
 
-    def needed(kind: int) -> int:
-        return sum(c * q * (3 if kind == 0 else 1) for (k, q), c in sizes.items() if k == kind and q >= floors[kind])
 
-    for kind in (1, 0):
-        while needed(0) + needed(1) > room and any(k == kind and q >= floors[kind] for k, q in sizes):
-            floors[kind] += 1
-    took = counts.where(((F.col("kind") == 0) & (F.col("q") >= floors[0])) | ((F.col("kind") == 1) & (F.col("q") >= floors[1])))
-    of_context = took.where("kind = 1").groupBy("ctx").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("k"))
-    sums = of_context.select(F.explode(F.array(F.struct(F.lit(2).alias("kind"), F.col("m").alias("n")), F.struct(F.lit(3).alias("kind"), F.col("k").alias("n")))).alias("s"), "ctx")
-    rows = took.unionByName(sums.select("s.kind", "ctx", F.lit(0).cast("bigint").alias("w"), "s.n", F.lit(0).alias("q")))
-    parts = rows.mapInArrow(items, "segment int, h bigint, q int").groupBy("segment").applyInArrow(segment_bits(bits), "segment int, bytes binary").toArrow()
-    field = bytearray(bits // 8)
-    step = bits // 8 // SEGMENTS
-    for s, data in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        field[s * step : (s + 1) * step] = data
-    return bytes(field)
+def ask(segments: int):
+    """mapInArrow function: packed blocks to (segment, block, items)."""
+    schema = pa.schema([("segment", pa.int32()), ("block", pa.int64()), ("items", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for block, sizes, texts in zip(*(batch.column(k).to_pylist() for k in ("block", "sizes", "texts"))):
+                for h, segment, cut in wanted(unpacked(sizes, texts), segments):
+                    blobs = [h[x:y].astype("<u8").tobytes() for x, y in zip(cut[:-1], cut[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(segment[cut[:-1]].astype(np.int32)), pa.array(np.full(len(blobs), block)), pa.array(blobs, pa.binary())], schema=schema)
+
+    return run
+
+
+def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+    """The levels of all that one segment is asked."""
+    schema = pa.schema([("block", pa.int64()), ("segment", pa.int32()), ("levels", pa.binary())])
+    blobs = asked.column("items").to_pylist()
+    if own.num_rows:
+        data = own.column("bytes")[0].as_py()
+        bloom = Filter(np.frombuffer(data, np.uint8), 0, np.array([len(data) * 8]), 1)
+        out = [bloom.levels(np.frombuffer(x, "<u8")).astype(np.uint8).tobytes() for x in blobs]
+    else:
+        out = [bytes(len(x) // 8) for x in blobs]
+    return pa.Table.from_arrays([asked.column("block"), asked.column("segment"), pa.array(out, pa.binary())], schema=schema)
+
+
+def rate(model, segments: int):
+    """cogroup function: one block of texts and its answers to scores."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        levels = dict(zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist()))
+        out = []
+        for rids, sizes, whole in zip(*(block.column(k).to_pylist() for k in ("rids", "sizes", "texts"))):
+            texts = unpacked(sizes, whole)
+            out.append(rated(texts, np.frombuffer(rids, "<i8"), model.value, Answers(wanted(texts, segments), levels)))
+        return pa.Table.from_batches(out, schema=_SCORED)
+
+    return run
+
+
+def counted(train: DataFrame) -> tuple[DataFrame, int]:
+    """Counts as total() gives them, and the number of segments. train: text."""
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << (max(16, -(-size // BUCKET_BYTES)) - 1).bit_length()
+    segments = max(SEGMENTS, buckets)
+    blobs = train.select("text").mapInArrow(tally(int(buckets)), "kind int, bucket int, blob binary")
+    return kept(blobs.groupBy("kind", "bucket").applyInArrow(total(segments), COUNTS), "lm-counts"), segments
+
+
+def build_filter(counts: DataFrame, segments: int) -> DataFrame:
+    """segment, bytes: the filter, as large as the counts need. Segments in which nothing is are missing."""
+    sums = counts.where("kind > 1").groupBy("kind", "w").agg(F.sum("n").alias("n"))
+    rows = counts.where("kind = 0").select("kind", "w", "n").unionByName(sums)
+    words = rows.mapInArrow(items(segments), "segment int, h bigint, q int").groupBy("segment").applyInArrow(segment_bits(), "segment int, bytes binary")
+    return counts.where("kind = 1").select(F.col("w").cast("int").alias("segment"), F.col("bits").alias("bytes")).unionByName(kept(words, "lm-filter"))
 
 
 def scores(docs: DataFrame, train: DataFrame, *carry: str, bits: int = FILTER_BITS, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs' columns `carry`, n_tokens, n_known, train_tokens, base_score, score. docs and train: text."""
+    """docs' columns `carry`, n_tokens, n_known, train_tokens, base_score, score. docs and train: text. bits: of a filter that is broadcast at most."""
     spark = docs.sparkSession
-    counts = counted(train)
+    counts, segments = counted(train)
     start = int(START.view(np.int64))
     words = counts.where((F.col("kind") == 0) & (F.col("w") != start))
     n_all, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -368,10 +490,23 @@ def scores(docs: DataFrame, train: DataFrame, *carry: str, bits: int = FILTER_BI
     got = words.where(F.col("q") >= least).select("w", "n").toArrow()
     w = got.column("w").to_numpy().view(np.uint64)
     order = np.argsort(w)
-    field = build_filter(counts, bits)
-    model = spark.sparkContext.broadcast((w[order], got.column("n").to_numpy()[order], complete, field, bits, n_all, kinds))
+    base_model = w[order], got.column("n").to_numpy()[order], complete, n_all, kinds
+    parts = build_filter(counts, segments)
+    size = 8 * (parts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0)
     own = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs["text"].alias("text"), F.monotonically_increasing_id().alias("rid"))
-    scored = kept(own.select("rid", "text").mapInArrow(scorer(model), SCORED), "lm-scores")
+    if size <= bits:
+        found = sorted((r["segment"], bytes(r["bytes"])) for r in parts.collect())  # `bits` in all
+        sizes = np.zeros(2 * segments, np.int64)
+        sizes[[k for k, _ in found]] = [8 * len(x) for _, x in found]
+        model = spark.sparkContext.broadcast((base_model, b"".join(x for _, x in found), sizes, segments))
+        rows = own.select("rid", "text").mapInArrow(scorer(model), SCORED)
+    else:
+        model = spark.sparkContext.broadcast(base_model)
+        texts = kept(own.select("rid", "text").mapInArrow(packed, "block bigint, rids binary, sizes binary, texts binary"), "lm-texts")
+        asked = texts.mapInArrow(ask(segments), "segment int, block bigint, items binary")
+        answers = asked.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(answer, "block bigint, segment int, levels binary")
+        rows = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate(model, segments), SCORED)
+    scored = kept(rows, "lm-scores")
     if complete:
         tail = scored.select("rid", F.lit(0.0).alias("t_sum"), F.lit(0).cast("bigint").alias("t_known")).limit(0)
     else:

@@ -59,3 +59,9 @@ def test_filter_reads_back_quantised_counts():
 def test_model_beats_base_on_held_out(spark):
     got = L.op2_lm_score(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(base_score) b", "sum(score) s").first()
     assert got.s > got.b
+
+
+def test_all_counts_are_in_the_filter_at_any_size(edge):
+    """A filter beyond the bound of the broadcast holds the same counts as one below it."""
+    few, many = ({(r.doc_id, round(r.score, 9)) for r in L.scores(edge, edge, "doc_id", bits=b).collect()} for b in (1 << 14, 1 << 26))
+    assert few == many
