@@ -56,7 +56,7 @@ def codebook(growth: float, first: int) -> np.ndarray:
     return np.array(values[:-1], np.int64)
 
 
-WORD_CODE, PAIR_CODE = codebook(1.15, 1), codebook(1.5, 2)
+WORD_CODE, PAIR_CODE = codebook(1.15, 1), codebook(1.5, 1)
 
 
 def sequences(texts: list[bytes]):
@@ -85,10 +85,6 @@ def word_key(w: np.ndarray) -> np.ndarray:
     return mix(w + _U(0xA0))
 
 
-def mass_key(w: np.ndarray) -> np.ndarray:
-    return mix(w + _U(0xC2))
-
-
 def kinds_key(w: np.ndarray) -> np.ndarray:
     return mix(w + _U(0xD3))
 
@@ -171,7 +167,7 @@ def counts_of(kind: int, w: np.ndarray, n: np.ndarray, q: np.ndarray | None = No
 
 
 def total(segments: int):
-    """The sums of one bucket: counts of words (kind 0), or segments of the pairs (kind 1) with the bucket's share of each context's count of pairs (2) and of different pairs (3)."""
+    """The sums of one bucket: counts of words (kind 0), or segments of the pairs (kind 1) with the bucket's share of each context's count of different pairs (2)."""
 
     def run(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
@@ -197,19 +193,14 @@ def total(segments: int):
             w, _, n = summed(w, w, n)
             return counts_of(0, w, n, np.searchsorted(WORD_CODE, n, side="right"))
         c, w, n = summed(np.concatenate(cs), w, n)
-        often = n >= PAIR_CODE[0]
-        c, w, n = c[often], w[often], n[often]
-        if not len(c):
-            return counts_of(1, c, n)
         at = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-        sums = [counts_of(2, c[at], np.add.reduceat(n, at)), counts_of(3, c[at], np.diff(np.append(at, len(c))))]
         h, q = pair_key(c, w), np.searchsorted(PAIR_CODE, n, side="right")
         segment = segment_of(h, segments)
         order = np.argsort(segment, kind="stable")
         cut = np.flatnonzero(np.diff(segment[order], prepend=-1, append=-1))
         ids = segment[order][cut[:-1]].astype(np.uint64)
         fields = [filled(h[order[x:y]], q[order[x:y]]) for x, y in zip(cut[:-1], cut[1:])]
-        return pa.concat_tables([*sums, counts_of(1, ids, np.diff(cut), bits=fields)])
+        return pa.concat_tables([counts_of(2, c[at], np.diff(np.append(at, len(c)))), counts_of(1, ids, np.diff(cut), bits=fields)])
 
     return run
 
@@ -253,7 +244,7 @@ def items(segments: int):
             kind = batch.column("kind").to_numpy()
             w, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("w", "n"))
             w = w.view(np.uint64)
-            h = np.select([kind == 0, kind == 2], [word_key(w), mass_key(w)], kinds_key(w))
+            h = np.where(kind == 0, word_key(w), kinds_key(w))
             q = np.searchsorted(WORD_CODE, n, side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array((segment_of(h, segments) + segments).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(q)], schema=schema)
 
@@ -353,10 +344,11 @@ def rated(texts: list[bytes], rid: np.ndarray, model, look) -> pa.RecordBatch:
     log_sum = np.bincount(text, weights=per_word[number], minlength=len(n))
     n_known = np.bincount(text, weights=(c > 0)[number], minlength=len(n)).astype(np.int64)
     # the model: everything from probes
-    qw, qm, qk = (look.words(f(u)) for f in (word_key, mass_key, kinds_key))
+    qw, qk = (look.words(f(u)) for f in (word_key, kinds_key))
     single = (low(WORD_CODE, qw) + 1) / floor
     times = np.maximum(high(WORD_CODE, qw), 1.0)
-    rest = np.where(qw > 0, np.clip(1 - (high(WORD_CODE, qm) - DISCOUNT * low(WORD_CODE, qk)) / times, 1e-3, 1.0), 1.0)
+    # a context's pairs occur as often as the word itself, so the discounts of its different pairs are what is left
+    rest = np.where(qw > 0, np.clip(DISCOUNT * low(WORD_CODE, qk) / times, 1e-3, 1.0), 1.0)
     pair = low(PAIR_CODE, look.pairs(pair_key(context, token & _W40)))
     p = np.maximum(pair - DISCOUNT, 0) / times[before] + rest[before] * single[number]
     score = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=len(n))
@@ -410,7 +402,7 @@ def wanted(texts: list[bytes], segments: int):
     """What a block asks: distinct items of pairs and of words, ordered, their segments, and where each segment starts."""
     context, token, _ = sequences(texts)
     u = np.unique(np.append(token, START))
-    for first, h in (0, pair_key(context, token & _W40)), (segments, np.concatenate([f(u) for f in (word_key, mass_key, kinds_key)])):
+    for first, h in (0, pair_key(context, token & _W40)), (segments, np.concatenate([f(u) for f in (word_key, kinds_key)])):
         h = np.unique(h)
         segment = segment_of(h, segments) + first
         yield h, segment, np.flatnonzero(np.diff(segment, prepend=-1, append=-1))
@@ -468,7 +460,7 @@ def counted(train: DataFrame) -> tuple[DataFrame, int]:
 
 def build_filter(counts: DataFrame, segments: int) -> DataFrame:
     """segment, bytes: the filter, as large as the counts need. Segments in which nothing is are missing."""
-    sums = counts.where("kind > 1").groupBy("kind", "w").agg(F.sum("n").alias("n"))
+    sums = counts.where("kind = 2").groupBy("kind", "w").agg(F.sum("n").alias("n"))
     rows = counts.where("kind = 0").select("kind", "w", "n").unionByName(sums)
     words = rows.mapInArrow(items(segments), "segment int, h bigint, q int").groupBy("segment").applyInArrow(segment_bits(), "segment int, bytes binary")
     return counts.where("kind = 1").select(F.col("w").cast("int").alias("segment"), F.col("bits").alias("bytes")).unionByName(kept(words, "lm-filter"))

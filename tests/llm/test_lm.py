@@ -65,3 +65,14 @@ def test_all_counts_are_in_the_filter_at_any_size(edge):
     """A filter beyond the bound of the broadcast holds the same counts as one below it."""
     few, many = ({(r.doc_id, round(r.score, 9)) for r in L.scores(edge, edge, "doc_id", bits=b).collect()} for b in (1 << 14, 1 << 26))
     assert few == many
+
+
+def test_pairs_that_occur_once_count(make):
+    train = make([(1, "red apple green pear", "en", "a")])
+    docs = make([(1, "red apple", "en", "a"), (2, "red pear", "en", "a")])
+    for bits in (1 << 26, 1):
+        got = {r.doc_id: r.score for r in L.scores(docs, train, "doc_id", bits=bits).collect()}
+        # START red: 0.5 + 0.5 * 2/11; red apple the same, red pear only 0.5 * 2/11; apple END: 0.5 * 2/11, pear END like START red
+        seen, unseen = 0.5 + 0.5 * 2 / 11, 0.5 * 2 / 11
+        assert got[1] == pytest.approx(math.log10(seen * seen * unseen), abs=1e-9)
+        assert got[2] == pytest.approx(math.log10(seen * unseen * seen), abs=1e-9)
