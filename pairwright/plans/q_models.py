@@ -384,9 +384,10 @@ def str3(spark, sf):
     return V.completeness(_log(spark, sf), "packet", "reviewer", 2)
 
 
-@query("STR4_reviewer_sessions")
+@query("STR4_reviewer_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY reviewer ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM reviews WHERE ts IS NOT NULL), s AS (SELECT *, sum(opens) OVER (PARTITION BY reviewer ORDER BY ts, event_id) AS k FROM g)
+SELECT reviewer, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS responses FROM s GROUP BY reviewer, k""", "reviews")
 def str4(spark, sf):
-    return V.sessions(_log(spark, sf), "reviewer", "ts", "30 minutes", "40 days")
+    return V.sessions(_log(spark, sf), "reviewer", "ts", "30 minutes")
 
 
 @query("STR4b_pacing", "SELECT reviewer, count(*) AS n, count(DISTINCT gap) AS distinct_gaps FROM (SELECT reviewer, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY reviewer ORDER BY ts, event_id) AS gap FROM reviews) GROUP BY 1", "reviews")

@@ -47,7 +47,9 @@ def completeness(stream: DataFrame, packet: str, reviewer: str, wanted: int) ->
     return got.withColumn("complete", F.col("n") >= wanted)
 
 
-def sessions(stream: DataFrame, reviewer: str, time: str, gap: str, delay: str = "1 day") -> DataFrame:
-    """Working sessions of each reviewer: start, end, responses. Sessions that the watermark has not passed stay open and are left out."""
-    s = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), reviewer).agg(F.count(F.lit(1)).alias("responses"))
-    return _drain(s, "append", "sessions").select(reviewer, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "responses")
+def sessions(stream: DataFrame, reviewer: str, time: str, gap: str) -> DataFrame:
+    """Working sessions of each reviewer: start, end, responses. No watermark, so that late responses count and the sessions open at the end of the log are in."""
+    s = stream.groupBy(F.session_window(time, gap).alias("w"), reviewer).agg(F.count(F.lit(1)).alias("responses"))
+    got = _drain(s, "complete", "sessions")  # every batch holds all sessions so far
+    last = got.agg(F.max("_batch")).first()[0]
+    return got.where(F.col("_batch") == F.lit(last)).select(reviewer, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "responses")

@@ -173,3 +173,15 @@ def test_image_metrics(spark):
     flat, noisy = bytes([100] * 25), bytes(i * 37 % 256 for i in range(25))
     r = {x.k: x for x in D.image_metrics(spark.createDataFrame([(1, flat), (2, noisy), (3, b"")], "k int, c binary"), "k", "c", 5).collect()}
     assert r[1].sharpness == 0 and r[2].sharpness > 0 and r[3].sharpness is None
+
+
+def test_sessions_open_at_the_end_and_late_responses(spark, tmp_path):
+    """Two files; the second is 90 days older. A gap of just 30 minutes doesn't split."""
+    from pairwright.streaming import review as V
+
+    for k, rows in enumerate(([("a", "2024-04-01 10:00:00"), ("a", "2024-04-01 10:30:00"), ("b", "2024-04-01 10:00:00")], [("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 10:30:01")])):
+        spark.createDataFrame(rows, "reviewer string, t string").selectExpr("reviewer", "timestamp(t) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    got = V.sessions(V.log_stream(spark, str(tmp_path / "log")), "reviewer", "ts", "30 minutes")
+    assert sorted((r.reviewer, str(r.start), str(r.end), r.responses) for r in got.collect()) == [
+        ("a", "2024-01-01 10:00:00", "2024-01-01 10:30:00", 1), ("a", "2024-01-01 10:30:01", "2024-01-01 11:00:01", 1), ("a", "2024-04-01 10:00:00", "2024-04-01 11:00:00", 2), ("b", "2024-04-01 10:00:00", "2024-04-01 10:30:00", 1),
+    ]

@@ -23,7 +23,7 @@ def test_oracle(spark, con, name):
     compare(spark, con, SF, name, QUERIES[name], ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"STR4_reviewer_sessions"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_repeats(spark, name):
     first = sorted(map(str, QUERIES[name](spark, SF).collect()))
     assert first
