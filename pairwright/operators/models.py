@@ -163,6 +163,74 @@ def cross_validated(df: DataFrame, key: str, features: list[str], label: str, we
     return x.groupBy("held", "model").applyInPandas(run, f"{key} {t[key]}, model string, fold bigint, y bigint, w double, p double")
 
 
+def _splines(train: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """spline_basis of each column with the knots of the training rows, standardised over them; constant columns give zeros."""
+    parts = []
+    for k in range(train.shape[1]):
+        lo, mid, hi = train[:, k].min(), np.median(train[:, k]), train[:, k].max()
+        both = []
+        for v in (train[:, k], x[:, k]):
+            if hi - lo < 1e-12:
+                both.append(np.zeros((len(v), 4)))
+                continue
+            u, m = np.clip((v - lo) / (hi - lo), 0, 1), (mid - lo) / (hi - lo)
+            left, m0, m1 = u < m, max(m, 1e-12), max(1 - m, 1e-12)
+            b0 = np.where(left, ((m - u) / m0) ** 2, 0.0)
+            b1 = np.where(left, u * (m - u) / m0**2 + (1 - u) * u / m0, (1 - u) ** 2 / m1)
+            b3 = np.where(left, 0.0, ((u - m) / m1) ** 2) if m < 1 else (u == 1).astype(float)
+            both.append(np.column_stack([b0, b1, 1 - b0 - b1 - b3, b3]))
+        mean, sd = both[0].mean(0), both[0].std(0)
+        parts.append((both[1] - mean) / np.where(sd < 1e-12, 1.0, sd))
+    return np.column_stack(parts) if parts else np.zeros((len(x), 0))
+
+
+def nested_cross_validated(df: DataFrame, key: str, label: str, weight: str, component: str, models: dict[str, tuple[str, list[str]]], lambdas: list[float], outer: int, inner: int) -> DataFrame:
+    """Out-of-fold predictions of each model (kind, features; kind linear or splines) on component-disjoint folds: key, model, fold, lam, y, w, p.
+
+    For each outer fold lambda is the largest of the grid whose mean weighted Brier score over the inner folds of the
+    other components is within one standard error of the best; the model is then fitted to all of them. One task for each
+    outer fold and model. A model without features has lambda 0.
+    """
+    from .graph import nested_folds
+
+    spark = df.sparkSession
+    vectors = df.groupBy(component).agg(F.sum(label).alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    folds = nested_folds(vectors, component, ["_pos", "_n"], outer, inner)
+    features = sorted({f for _, own in models.values() for f in own})
+    grid = spark.createDataFrame([(m,) for m in models], "model string")
+    rows = df.select(key, component, *features, label, weight).withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
+    x = rows.join(folds, ["outer", component], "left").crossJoin(F.broadcast(grid))
+
+    def fitted(tr: pd.DataFrame, te: pd.DataFrame, kind: str, own: list[str], lams: list[float]):
+        mean, sd = tr[own].mean(), tr[own].std(ddof=0).where(lambda s: s > 1e-12, 1.0)
+        a, b = ((tr[own] - mean) / sd).to_numpy(float), ((te[own] - mean) / sd).to_numpy(float)
+        if kind == "splines":
+            a, b = _splines(a, a), _splines(a, b)
+        y, w = tr[label].to_numpy(float), tr[weight].to_numpy(float)
+        return [predict(newton_logistic(a, y, w, lam), b) for lam in lams]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        kind, own = models[pdf["model"].iloc[0]]
+        test = pdf["inner"].isna()
+        tr, te = pdf[~test], pdf[test]
+        lam = 0.0
+        if own and len(te) and len(tr):
+            loss = []
+            for f in sorted(tr["inner"].unique()):
+                held = tr["inner"] == f
+                va = tr[held]
+                loss.append([np.average((va[label] - p) ** 2, weights=va[weight]) for p in fitted(tr[~held], va, kind, own, lambdas)])
+            mean, sd = np.mean(loss, axis=0), np.std(loss, axis=0, ddof=1) if len(loss) > 1 else np.zeros(len(lambdas))
+            best = int(mean.argmin())
+            lam = max(g for g, m in zip(lambdas, mean) if m <= mean[best] + sd[best] / math.sqrt(len(loss)))
+        p = fitted(tr, te, kind, own, [lam])[0] if len(te) and len(tr) else np.full(len(te), np.nan)
+        return pd.DataFrame({key: te[key], "model": te["model"], "fold": te["outer"], "lam": lam, "y": te[label], "w": te[weight].astype(float), "p": p})
+
+    t = dict(df.dtypes)
+    return x.groupBy("outer", "model").applyInPandas(run, f"{key} {t[key]}, model string, fold bigint, lam double, y bigint, w double, p double")
+
+
 def one_se_lambda(losses: DataFrame, model: str, lam: str, fold: str, loss: str) -> DataFrame:
     """Per model the largest lambda whose mean loss is within one standard error of the best."""
     g = losses.groupBy(model, lam).agg(F.avg(loss).alias("m"), (F.stddev_samp(loss) / F.sqrt(F.count(F.lit(1)))).alias("se"))

@@ -185,3 +185,40 @@ def test_sessions_open_at_the_end_and_late_responses(spark, tmp_path):
     assert sorted((r.reviewer, str(r.start), str(r.end), r.responses) for r in got.collect()) == [
         ("a", "2024-01-01 10:00:00", "2024-01-01 10:30:00", 1), ("a", "2024-01-01 10:30:01", "2024-01-01 11:00:01", 1), ("a", "2024-04-01 10:00:00", "2024-04-01 11:00:00", 2), ("b", "2024-04-01 10:00:00", "2024-04-01 10:30:00", 1),
     ]
+
+
+def test_nested_cv_chooses_lambda_inside(spark):
+    import numpy as np
+
+    from pairwright.operators.graph import nested_folds
+    from pairwright.plans import q_models as Q
+    from pairwright.plans import tables as T
+
+    o = T.outcomes(spark, "/root/testdata/sf0.001")
+    got = D.nested_cross_validated(o, "id", "y", "w", "comp", Q.NESTED, Q.LAMBDAS, 5, 4).toPandas()
+    data = o.select("id", "y", "w", "comp", "p").toPandas()
+    assert sorted(got["model"].unique()) == ["P0", "P1", "P2", "P3", "P4", "P5", "S1", "S2"]
+    assert (got.groupby("model")["id"].apply(sorted).map(tuple) == tuple(sorted(data["id"]))).all()
+    assert got.merge(data[["id", "comp"]]).groupby("comp")["fold"].nunique().max() == 1 and got["p"].between(0, 1).all()
+    v = o.groupBy("comp").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    f = nested_folds(v.withColumnRenamed("pos", "_pos").withColumnRenamed("n", "_n"), "comp", ["_pos", "_n"], 5, 4).toPandas()
+    k = int(got["fold"].min())
+    tr = data.merge(f[f["outer"] == k][["comp", "inner"]]).sort_values("id")
+
+    def fit(a, b, lam):
+        m, s = a["p"].mean(), a["p"].std(ddof=0)
+        beta = D.newton_logistic(((a[["p"]] - m) / s).to_numpy(), a["y"].to_numpy(float), a["w"].to_numpy(float), lam)
+        return D.predict(beta, ((b[["p"]] - m) / s).to_numpy())
+
+    loss = {}
+    for lam in Q.LAMBDAS:
+        parts = [(tr[tr["inner"] != i], tr[tr["inner"] == i]) for i in sorted(tr["inner"].unique())]
+        loss[lam] = [float(np.average((b["y"] - fit(a, b, lam)) ** 2, weights=b["w"])) for a, b in parts]
+    best = min(loss.values(), key=np.mean)
+    lam = max(g for g, x in loss.items() if np.mean(x) <= np.mean(best) + np.std(best, ddof=1) / len(best) ** 0.5)
+    own = got[(got["model"] == "P1") & (got["fold"] == k)].sort_values("id")
+    assert set(own["lam"]) == {lam}
+    te = data[data["id"].isin(own["id"])].sort_values("id")
+    assert np.allclose(own["p"], fit(tr, te, lam))
+    zero = got[(got["model"] == "P0") & (got["fold"] == k)]
+    assert np.allclose(zero["p"], np.average(tr["y"], weights=tr["w"]), atol=1e-6)
