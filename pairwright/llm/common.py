@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
-        found = tempfile.mkdtemp(prefix="pairwright-")
+        # the warehouse is shared where no folder is named; a machine's own temporary folder isn't
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,6 +54,48 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes of a plan that pass each row of a file on once at most.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"}
+#: Files whose numbers are broadcast at most (some 150 bytes each); rows of more files are stored once with their numbers.
+MAX_FILES = 100_000
+
+
+def files_of(docs: DataFrame) -> list[str]:
+    """The files that docs is read from row by row; none if its rows come in another way."""
+
+    def names(plan):
+        yield plan.nodeName()
+        for i in range(plan.children().size()):
+            yield from names(plan.children().apply(i))
+
+    return sorted(docs.inputFiles()) if set(names(docs._jdf.queryExecution().analyzed())) <= _ROW_BY_ROW else []
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """docs itself if its rows come straight from files, else docs as written to the shared folder once."""
+    return docs if files_of(docs) else kept(docs, "stored")
+
+
+def numbered(docs: DataFrame, *columns: str | Column, name: str = "rid") -> DataFrame:
+    """The columns, and a number for each row that is the same however often, in whatever splits and on whatever
+    executors the row is read: its file's place among the files and its row in the file.
+
+    Rows that don't come straight from files are stored once with their numbers.
+    """
+    files = files_of(docs)
+    if not 0 < len(files) <= MAX_FILES:
+        return kept(docs.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")
+    at, row, file, number = (f"_{x}_{uuid.uuid4().hex}" for x in ("at", "row", "file", "number"))
+    meta = docs.metadataColumn("_metadata")
+    plain = lambda x: re.sub("^file:/+", "file:/", x)
+    own = docs.select(*columns, F.regexp_replace(meta["file_path"], "^file:/+", "file:/").alias(at), meta["row_index"].alias(row))
+    places = docs.sparkSession.createDataFrame([(plain(f), i) for i, f in enumerate(files)], f"{file} string, {number} bigint")
+    lost = F.raise_error(F.concat(F.lit("no number for the rows of "), F.col(at))).cast("bigint")
+    rid = F.when(F.col(number).isNotNull(), F.shiftleft(F.col(number), 40) + F.col(row)).otherwise(lost)
+    out = own.join(F.broadcast(places), F.col(at) == F.col(file), "left").withColumn(name, rid)
+    return out.drop(at, row, file, number)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

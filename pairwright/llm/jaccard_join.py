@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, kept, mix
+from .common import Block, blocks, kept, mix, numbered, stored
 
 WORDS = 5
 #: The threshold as a share of 100.
@@ -504,9 +504,9 @@ def tree_join(percent: int, best: int | None = None):
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
-    """rid, doc_id, n, comp, component_id of every document. docs: doc_id, text; rid counts the rows of docs as stored."""
+    """rid, doc_id, n, comp, component_id of every document. docs: doc_id, text; rid is the row's number as numbered() gives it."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    texts = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = kept(texts.mapInArrow(facts(words), FACTS), "jaccard-facts")
     key = ["n", "d1", "d2"]
     sets = base.where("n > 0").groupBy(*key).agg(F.min("rid").alias("rep"))
@@ -558,12 +558,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, the one of the smallest doc_id (then the first as stored); the columns stay as they are."""
     rid = f"_rid_{uuid.uuid4().hex}"
+    docs = stored(docs)
     found = near_duplicates(docs, words, percent)
     stays = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stay"))
     gone = found.join(stays, "comp").where(F.col("rid") != F.col("stay")).select(F.col("rid").alias(rid))
     gone = kept(gone, "jaccard-gone")
     n = gone.count()
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, rid, "left_anti").drop(rid)
+    return numbered(docs, "*", name=rid).join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, rid, "left_anti").drop(rid)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

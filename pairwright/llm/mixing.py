@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, text_of, unit
+from .common import WORD, kept, numbered, stored, text_of, unit
 
 #: Units that meet one after another in one task's array.
 BLOCK = 128
@@ -97,7 +97,7 @@ def _level(units: DataFrame, level: int, seed: int, spread: DataFrame) -> DataFr
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
     """One row for each document: rid, doc_id, source, size, source_size, target, copies. Needs doc_id, source and text."""
-    units = kept(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count().alias("size")), "mix-units")
+    units = kept(numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), "source", word_count().alias("size")), "mix-units")
     stats = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
     goal = kept(targets(stats.select("source", "source_size"), weights, most).join(stats.select(F.col("source").alias("_s"), "n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -128,11 +128,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """The rows of docs that the mix takes, with mix_copies, mix_size and mix_target. docs must be a stored table."""
+    """The rows of docs that the mix takes, with mix_copies, mix_size and mix_target, which replace columns of these names."""
     rid = f"_rid_{uuid.uuid4().hex}"
+    docs = stored(docs.drop("mix_copies", "mix_size", "mix_target"))
     m = mix(docs.select("doc_id", "source", "text"), weights, most).where("copies > 0")
     took = m.select(F.col("rid").alias(rid), F.col("copies").alias("mix_copies"), F.col("size").alias("mix_size"), F.col("target").alias("mix_target"))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(took, rid).drop(rid)
+    return numbered(docs, "*", name=rid).join(took, rid).drop(rid)
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

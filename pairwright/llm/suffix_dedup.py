@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, kept, prefix_hash, range_hash
+from .common import blocks, kept, numbered, prefix_hash, range_hash
 
 WIDTH = 200
 #: Bytes of the grams whose hashes choose the anchors.
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, *carry: str, width: int = WIDTH, with_text:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     own = docs.select(*[docs[c] for c in carry])
-    src = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(docs["text"], F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    src = numbered(docs, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(docs["text"], F.lit("")).alias("text"))
     found = spans(src.select("rid", "text"), width, max_broadcast).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     names = [f"_c{i}" for i in range(len(carry))]
     arrow = pa.schema([pa.field(n, f.type) for n, f in zip(names, to_arrow_schema(own.schema))])
