@@ -15,13 +15,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, kept, scratch, text_of
+from .common import SPACE_RUN, kept, scratch, stored, text_of
 
 #: A digest with more than one HOT-th of all rows is handled apart.
 HOT = 256
+#: Slots of 64 bits of the hit filter, one broadcast row each. With so many hits that it fills up more texts move; the rows stay the same.
+SLOTS = 1 << 20
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,14 +32,10 @@ def normalised():
 
 
 def with_locator(docs: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The columns (all if none are named) and name: file and row of the text where docs comes from files, else the row's number in this plan."""
+    """The columns (all if none are named) and name: file and row of the text. docs comes straight from files."""
     own = [docs[c] for c in columns] or ["*"]
-    try:
-        return docs.select(*own, F.concat_ws("#", F.col("_metadata.file_path"), F.format_string("%020d", F.col("_metadata.row_index"))).alias(name))
-    except Exception as e:  # an in-memory table has no _metadata
-        if "_metadata" not in str(e):
-            raise
-        return docs.select(*own, F.format_string("#%020d", F.monotonically_increasing_id()).alias(name))
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(*own, F.concat_ws("#", meta["file_path"], F.format_string("%020d", meta["row_index"])).alias(name))
 
 
 def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, partitions: int | None) -> DataFrame:
@@ -75,7 +73,7 @@ def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, pa
 def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and loc (the locator)."""
     spark = docs.sparkSession
-    docs = with_locator(docs, "_loc", "doc_id", "text")
+    docs = with_locator(stored(docs), "_loc", "doc_id", "text")
     rows = kept(
         docs.select(
             F.sha2(normalised().cast("binary"), 256).alias("digest"),
@@ -92,7 +90,7 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
     # a digest with a 256th of all rows is hot; there are 256 of them at most, so they can be broadcast
     large = max(2, rows.count() // HOT)
     hot, cold = F.broadcast(hits.where(F.col("n") >= large)), hits.where(F.col("n") < large)
-    bad = false_hits(docs, hot, cold)
+    bad = false_hits(docs, hits)
     base = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(cold, "digest", "left"), allowMissingColumns=True).select(
         F.col("who.doc_id").alias("doc_id"),
         F.coalesce("keeper", "who").alias("keeper"),
@@ -112,17 +110,26 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
     )
 
 
-def false_hits(docs: DataFrame, hot: DataFrame, cold: DataFrame) -> DataFrame | None:
+def hit_bits(digest: Column) -> tuple[Column, Column]:
+    """The place of a digest in the hit filter: a slot, and two of its 64 bits."""
+    h = F.xxhash64(digest)
+    one = F.lit(1).cast("bigint")
+    mask = F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")).bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")))
+    return F.pmod(h, F.lit(SLOTS)), mask
+
+
+def false_hits(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
     """Compare full bytes of all rows that share a digest; returns the rows of digests with unlike texts, if any.
 
-    Within a digest the smallest and the largest text are kept by a partial aggregation. Rows
-    of hot digests are picked by a broadcast set and aggregated before they move, so each
-    task sends one text for each of them; all other rows meet their digests in a shuffled join.
+    A Bloom filter of the hit digests, of SLOTS rows at most, is broadcast, so only texts that were hit (and the few
+    that it takes for such) move. Within a digest the smallest and the largest text are kept, by a partial
+    aggregation first: of a hot digest each task sends one row.
     """
+    slot, mask = hit_bits(F.col("digest"))
+    field = hits.select(slot.alias("slot"), mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
     texts = docs.select(F.sha2(normalised().cast("binary"), 256).alias("digest"), normalised().alias("body"), "_loc")
-    ends = [F.min("body").alias("low"), F.max("body").alias("high")]
-    seen = texts.join(hot.select("digest"), "digest", "left_semi").groupBy("digest").agg(*ends)
-    seen = seen.unionByName(texts.join(hot.select("digest"), "digest", "left_anti").join(cold.select("digest"), "digest", "left_semi").groupBy("digest").agg(*ends))
+    likely = texts.withColumn("slot", slot).withColumn("mask", mask).join(F.broadcast(field), "slot").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
+    seen = likely.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     wrong = kept(seen.where("low <> high").select("digest"), "dedup-collisions")
     if wrong.isEmpty():
         return None
@@ -145,7 +152,7 @@ def split_collisions(base: DataFrame, bad: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that another row's text makes superfluous; the columns stay as they are."""
-    loc = f"_loc_{uuid.uuid4().hex}"
+    docs, loc = stored(docs), f"_loc_{uuid.uuid4().hex}"
     drop = classes(docs).where(~F.col("kept")).select(F.col("loc").alias(loc))
     return with_locator(docs, loc).join(drop, loc, "left_anti").drop(loc)
 
