@@ -18,7 +18,8 @@ the texts in a shuffled join.
 
 Defined results: null and empty texts hold just the end; without training texts every
 probability is 1 and every score 0; repeated rows count as often as they occur and are
-scored alike. Only doc_id (for the split) and text are looked at.
+scored alike; without documents there are no rows; texts are scored whole, however long.
+Only doc_id (for the split) and text are looked at.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, held_out, kept, mix
+from .common import Block, blocks, held_out, kept, mix, numbered
 
-#: Bits of a filter that is broadcast at most.
-FILTER_BITS = 1 << 28
+#: Bits of a filter that is broadcast at most (128 MB).
+FILTER_BITS = 1 << 30
+#: MB of the filter that come to the driver at a time.
+PIECE_MB = 8
 #: Segments of the pairs, and as many of words and context sums; more where there are more buckets of counts.
 SEGMENTS = 256
 PROBES = 5
@@ -41,10 +44,10 @@ MAX_WORDS = 2_000_000
 #: Bytes of text for each bucket of counts.
 BUCKET_BYTES = 16_000_000
 #: Bytes of text that ask the segments together.
-ASK_BYTES = 4_000_000
+ASK_BYTES = 16_000_000
 DISCOUNT = 0.5
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
-_W40 = np.uint64((1 << 40) - 1)
+_W40, _W32 = np.uint64((1 << 40) - 1), np.uint64((1 << 32) - 1)
 _U = np.uint64
 
 
@@ -213,21 +216,25 @@ def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> _U(65 - segments.bit_length())).astype(np.int64)
 
 
-def places(h: np.ndarray, level: int, mask):
-    """Bit addresses of (item, level) in its segment, a row for each probe."""
-    x = mix(h + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    a, b = x & mask, (x >> _U(32)) | _U(1)
+def places(h: np.ndarray, level: int, size):
+    """Bit addresses of (item, level) in its segment of `size` bits, a row for each probe.
+
+    Within its segment an item is known by its lower 32 bits: a segment holds some 10^5 items, so two of them are
+    taken for one far more rarely than the filter errs anyway.
+    """
+    x = mix((h & _W32) + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+    a, b = x & _W32, (x >> _U(32)) | _U(1)
     for i in range(PROBES):
-        yield (a + _U(i) * b) & mask
+        yield (((a + _U(i) * b) & _W32) * size) >> _U(32)
 
 
 def filled(h: np.ndarray, q: np.ndarray, size: int = 0) -> bytes:
-    """A segment of the filter; without a size the next power of two that its counts need."""
-    size = size or max(64, 1 << int(q.sum() * PROBES / 0.69).bit_length())
+    """A segment of the filter; without a size as large as its counts need."""
+    size = size or -(-max(64, int(q.sum() * PROBES / 0.69)) // 64) * 64
     field = np.zeros(size, bool)
     level = 1
     while len(h):
-        for p in places(h, level, _U(size - 1)):
+        for p in places(h, level, _U(size)):
             field[p.astype(np.int64)] = True
         level += 1
         more = q >= level
@@ -274,15 +281,17 @@ class Filter:
         segment = segment_of(h, self.segments) + first if self.segments > 1 else np.zeros(len(h), np.int64)
         out = np.zeros(len(h), np.int32)
         at, level = np.flatnonzero(self.sizes[segment] > 0), 1
-        start, mask = self.starts[segment[at]].astype(np.uint64), (self.sizes[segment[at]] - 1).astype(np.uint64)
+        start, size = self.starts[segment[at]].astype(np.uint64), self.sizes[segment[at]].astype(np.uint64)
         while len(at):
-            x = mix(h[at] + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-            a, b = x & mask, (x >> _U(32)) | _U(1)
+            rest = np.arange(len(at))
+            x = mix((h[at] & _W32) + _U(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            a, b = x & _W32, (x >> _U(32)) | _U(1)
             for i in range(PROBES):
-                p = start + ((a + _U(i) * b) & mask)
-                ok = (self.field[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
-                if not ok.all():
-                    at, a, b, start, mask = at[ok], a[ok], b[ok], start[ok], mask[ok]
+                p = start[rest] + ((((a + _U(i) * b) & _W32) * size[rest]) >> _U(32))
+                hit = (self.field[(p >> _U(3)).astype(np.int64)] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    rest, a, b = rest[hit], a[hit], b[hit]
+            at, start, size = at[rest], start[rest], size[rest]
             out[at] += 1
             level += 1
         return out
@@ -298,10 +307,12 @@ class Answers:
     """What the segments answered to one block of texts: levels of pairs and of words by item."""
 
     def __init__(self, asked, levels: dict):
-        self.asked = []
+        self.asked, expand = [], zstandard.ZstdDecompressor()
         for h, segment, cut in asked:
-            got = [np.frombuffer(levels[int(segment[x])], np.uint8) for x in cut[:-1]]
-            self.asked.append((h, np.concatenate(got).astype(np.int32)))
+            level = np.zeros(len(h), np.int32)
+            for x, y in zip(cut[:-1], cut[1:]):  # the answers are in the order of the items' lower bits
+                level[x:y][np.argsort(h[x:y] & _W32, kind="stable")] = np.frombuffer(expand.decompress(levels[int(segment[x])]), np.uint8)
+            self.asked.append((h, level))
 
     def pairs(self, h: np.ndarray) -> np.ndarray:
         return self.asked[0][1][np.searchsorted(self.asked[0][0], h)]
@@ -408,15 +419,29 @@ def wanted(texts: list[bytes], segments: int):
         yield h, segment, np.flatnonzero(np.diff(segment, prepend=-1, append=-1))
 
 
+def packed_items(press, h: np.ndarray) -> bytes:
+    """The lower 32 bits of items, as differences of ordered values, a plane for each byte."""
+    low32 = np.sort(h & _W32).astype("<u4")
+    step = np.diff(low32, prepend=np.zeros(1, "<u4")).astype("<u4")
+    return len(h).to_bytes(4, "little") + press.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked_items(expand, blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    step = np.ascontiguousarray(np.frombuffer(expand.decompress(blob[4:]), np.uint8).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(step, dtype=np.uint64)
+
+
 def ask(segments: int):
     """mapInArrow function: packed blocks to (segment, block, items)."""
     schema = pa.schema([("segment", pa.int32()), ("block", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for block, sizes, texts in zip(*(batch.column(k).to_pylist() for k in ("block", "sizes", "texts"))):
                 for h, segment, cut in wanted(unpacked(sizes, texts), segments):
-                    blobs = [h[x:y].astype("<u8").tobytes() for x, y in zip(cut[:-1], cut[1:])]
+                    blobs = [packed_items(press, h[x:y]) for x, y in zip(cut[:-1], cut[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(segment[cut[:-1]].astype(np.int32)), pa.array(np.full(len(blobs), block)), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
@@ -425,13 +450,14 @@ def ask(segments: int):
 def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
     """The levels of all that one segment is asked."""
     schema = pa.schema([("block", pa.int64()), ("segment", pa.int32()), ("levels", pa.binary())])
-    blobs = asked.column("items").to_pylist()
+    press, expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+    blobs = [unpacked_items(expand, x) for x in asked.column("items").to_pylist()]
     if own.num_rows:
         data = own.column("bytes")[0].as_py()
         bloom = Filter(np.frombuffer(data, np.uint8), 0, np.array([len(data) * 8]), 1)
-        out = [bloom.levels(np.frombuffer(x, "<u8")).astype(np.uint8).tobytes() for x in blobs]
+        out = [press.compress(bloom.levels(x).astype(np.uint8).tobytes()) for x in blobs]
     else:
-        out = [bytes(len(x) // 8) for x in blobs]
+        out = [press.compress(bytes(len(x))) for x in blobs]
     return pa.Table.from_arrays([asked.column("block"), asked.column("segment"), pa.array(out, pa.binary())], schema=schema)
 
 
@@ -463,11 +489,12 @@ def build_filter(counts: DataFrame, segments: int) -> DataFrame:
     sums = counts.where("kind = 2").groupBy("kind", "w").agg(F.sum("n").alias("n"))
     rows = counts.where("kind = 0").select("kind", "w", "n").unionByName(sums)
     words = rows.mapInArrow(items(segments), "segment int, h bigint, q int").groupBy("segment").applyInArrow(segment_bits(), "segment int, bytes binary")
-    return counts.where("kind = 1").select(F.col("w").cast("int").alias("segment"), F.col("bits").alias("bytes")).unionByName(kept(words, "lm-filter"))
+    return counts.where("kind = 1").select(F.col("w").cast("int").alias("segment"), F.col("bits").alias("bytes")).unionByName(words)
 
 
 def scores(docs: DataFrame, train: DataFrame, *carry: str, bits: int = FILTER_BITS, max_words: int = MAX_WORDS) -> DataFrame:
-    """docs' columns `carry`, n_tokens, n_known, train_tokens, base_score, score. docs and train: text. bits: of a filter that is broadcast at most."""
+    """docs' columns `carry`, n_tokens, n_known, train_tokens, base_score, score, which replace carried columns of these names.
+    docs and train: text. bits: of a filter that is broadcast at most."""
     spark = docs.sparkSession
     counts, segments = counted(train)
     start = int(START.view(np.int64))
@@ -483,14 +510,21 @@ def scores(docs: DataFrame, train: DataFrame, *carry: str, bits: int = FILTER_BI
     w = got.column("w").to_numpy().view(np.uint64)
     order = np.argsort(w)
     base_model = w[order], got.column("n").to_numpy()[order], complete, n_all, kinds
-    parts = build_filter(counts, segments)
+    parts = kept(build_filter(counts, segments), "lm-filter")
     size = 8 * (parts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0)
-    own = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs["text"].alias("text"), F.monotonically_increasing_id().alias("rid"))
+    carry = tuple(c for c in carry if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    own = numbered(docs, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], docs["text"].alias("text"))
     if size <= bits:
-        found = sorted((r["segment"], bytes(r["bytes"])) for r in parts.collect())  # `bits` in all
         sizes = np.zeros(2 * segments, np.int64)
-        sizes[[k for k, _ in found]] = [8 * len(x) for _, x in found]
-        model = spark.sparkContext.broadcast((base_model, b"".join(x for _, x in found), sizes, segments))
+        for r in parts.select("segment", F.octet_length("bytes").alias("n")).collect():
+            sizes[r["segment"]] = 8 * r["n"]
+        field, at = bytearray(int(sizes.sum()) // 8), (np.cumsum(sizes) - sizes) // 8
+        step = max(1, 2 * segments * PIECE_MB * 8_000_000 // max(int(sizes.sum()), 1))
+        for k in range(0, 2 * segments, step):  # `bits` in all, some MB at a time
+            for r in parts.where(F.col("segment").between(k, k + step - 1)).toLocalIterator():
+                field[at[r["segment"]] : at[r["segment"]] + len(r["bytes"])] = r["bytes"]
+        model = spark.sparkContext.broadcast((base_model, field, sizes, segments))
+        del field
         rows = own.select("rid", "text").mapInArrow(scorer(model), SCORED)
     else:
         model = spark.sparkContext.broadcast(base_model)
