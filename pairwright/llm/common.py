@@ -96,6 +96,41 @@ def numbered(docs: DataFrame, *columns: str | Column, name: str = "rid") -> Data
     return out.drop(at, row, file, number)
 
 
+#: Row numbers that are broadcast at most (8 bytes each); beyond it they meet the rows in a shuffled join.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose numbers are in gone's column rid; the columns stay as they are. docs comes straight from files."""
+    name = f"_rid_{uuid.uuid4().hex}"
+    gone = kept(gone.select(F.col("rid").alias(name)).distinct(), "gone")
+    n = gone.count()
+    return numbered(docs, "*", name=name).join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, name, "left_anti").drop(name)
+
+
+#: Slots of 64 bits of a Bloom filter of hashes, one broadcast row each at most. A filter that fills up lets more rows through.
+SLOTS = 1 << 20
+
+
+def slot_of(h: Column) -> Column:
+    return F.pmod(h, F.lit(SLOTS))
+
+
+def bits_of(h: Column) -> Column:
+    """Two of the 64 bits of a slot."""
+    one = F.lit(1).cast("bigint")
+    bit = lambda k: F.call_function("shiftleft", one, F.pmod(F.shiftright(h, k), F.lit(64)).cast("int"))
+    return bit(32).bitwiseOR(bit(40))
+
+
+def likely(rows: DataFrame, h: Column, known: DataFrame, known_h: Column) -> DataFrame:
+    """The rows whose hash h is in a Bloom filter of known's hashes: all that are among them and some others."""
+    slot, mask, at, bits = (f"_{x}_{uuid.uuid4().hex}" for x in ("slot", "mask", "at", "bits"))
+    field = known.select(slot_of(known_h).alias(at), bits_of(known_h).alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
+    out = rows.withColumn(slot, slot_of(h)).withColumn(mask, bits_of(h)).join(F.broadcast(field), F.col(slot) == F.col(at))
+    return out.where(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask)).drop(slot, mask, at, bits)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -2,30 +2,29 @@
 
 The benchmark's windows (10 consecutive words; an item of fewer words is one window) become
 a table of 64-bit hashes, broadcast when its size, which is checked, is within
-MAX_BROADCAST_WINDOWS and joined by a shuffle beyond it. Every window of a training text
-looks its hash up; a hit is verified word by word before it counts.
+MAX_BROADCAST_WINDOWS; beyond it a Bloom filter of fixed size is broadcast and what passes it
+meets the table in a shuffled join. Every window of a training text looks its hash up, as a
+narrow row (number of the text, place, length, hash) that never holds the text. A hit is
+verified word by word: only texts with a hit are taken up again.
 
 Defined results: null and word-free texts have no words, no hits and stay; a null item has
 no windows; equal windows of several items count for each of them; repeated rows and equal
 ids are separate documents; no benchmark rows, or none with words, leave all documents
-clean. Other columns are not looked at.
+clean; no documents give no rows; texts are looked at whole, however long. Other columns, of
+whatever names, are not looked at.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, kept, text_of
+from .common import LOWER, UPPER, kept, likely, numbered, stored, text_of, without
 
 #: Fixed value: a word is a run of these; ASCII other than digits and letters separates words.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Hash-set rows that are broadcast at most (about 100 bytes each); beyond it the lookup is a shuffled join.
+#: Hash-set rows that are broadcast at most (16 bytes each); beyond it what passes a Bloom filter meets them in a shuffled join.
 MAX_BROADCAST_WINDOWS = 200_000
-#: Marks the one row that each document has without any hit.
-NONE_AT = -1
 
 
 def words_of(name: str = "text") -> Column:
@@ -37,64 +36,72 @@ def windows(benchmark: DataFrame, width: int = 10) -> DataFrame:
     b = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of().alias("w")).where(F.size("w") > 0)
     b = b.withColumn("len", F.least(F.size("w"), F.lit(width)))
     w = b.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.slice("w", i, F.col("len")))).alias("words"))
-    return w.groupBy("len", "words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("words").alias("h"), "len", "words", "items")
+    return w.groupBy("len", "words").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64(F.transform("words", lambda x: F.xxhash64(x))).alias("h"), "len", "words", "items")
 
 
 def _look(k: int):
-    return lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.xxhash64(F.slice("words", i + 1, k)).alias("h"))
+    return lambda i: F.struct(i.alias("pos"), F.lit(k).alias("len"), F.xxhash64(F.slice("hashes", i + 1, k)).alias("h"))
+
+
+def looks(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """rid, n_words, pos, len, h: the windows of every text, and one row of length 0 for each text."""
+    found = numbered(docs, F.transform(words_of(), lambda x: F.xxhash64(x)).alias("hashes"))
+    n = F.size("hashes")
+    own = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("h")))
+    for k in sorted(lengths):
+        own = F.concat(own, F.transform(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>")), _look(k)))
+    # the array of hashes stays behind: inline_outer() gives narrow rows, and lets no filter on the array be inferred, which would make it twice
+    return found.select("rid", n.cast("bigint").alias("n_words"), own.alias("look")).select("rid", "n_words", F.inline_outer("look"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, *carry: str) -> DataFrame:
-    """One row per document: the carried columns, n_words, spans (pos, len, items)."""
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rid, n_words) of all documents, and (rid, spans) of those with hits; a span is (pos, len, items). docs comes straight from files."""
     w = kept(windows(benchmark, width), "windows")
     count, lengths = w.agg(F.count(F.lit(1)), F.collect_set("len")).first()  # at most `width` lengths
-    marker = docs.sparkSession.createDataFrame([(0, NONE_AT, None, None)], "h bigint, len int, words array<string>, items array<string>")
-    table = w.unionByName(marker).withColumnsRenamed({"h": "w_h", "len": "w_len", "words": "w_words"})
-    base = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], words_of().alias("words"), F.monotonically_increasing_id().alias("rid"))
-    n = F.size("words")
-    looks = F.array(F.struct(F.lit(NONE_AT).alias("pos"), F.lit(NONE_AT).alias("len"), F.lit(0).cast("bigint").alias("h")))
-    for k in sorted(lengths):
-        at = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.expr("cast(array() as array<int>)"))
-        looks = F.concat(looks, F.transform(at, _look(k)))
-    rows = base.withColumn("look", F.explode(looks))
-    side = F.broadcast(table) if count <= MAX_BROADCAST_WINDOWS else table
-    on = (F.col("look.h") == F.col("w_h")) & (F.col("look.len") == F.col("w_len")) & (
-        (F.col("w_len") == NONE_AT) | (F.slice("words", F.col("look.pos") + 1, F.greatest(F.col("look.len"), F.lit(0))) == F.col("w_words"))
-    )
-    met = rows.join(side, on).select("rid", *[f"_c{i}" for i in range(len(carry))], n.alias("n_words"), F.when(F.col("w_len") != NONE_AT, F.struct("look.pos", "look.len", "items")).alias("hit"))
-    own = [F.first(f"_c{i}").alias(f"_c{i}") for i in range(len(carry))]
-    out = met.groupBy("rid").agg(*own, F.first("n_words").alias("n_words"), F.collect_list("hit").alias("spans"))
-    return out.drop("rid").withColumnsRenamed({f"_c{i}": c for i, c in enumerate(carry)})
+    keys = w.select("h", "len").distinct()
+    rows = looks(docs, lengths)
+    mark = docs.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("len"))
+    known = keys.unionByName(mark)
+    if count <= MAX_BROADCAST_WINDOWS:
+        met = kept(rows.join(F.broadcast(known), ["h", "len"]), "window-hits")
+    else:
+        met = kept(likely(rows, F.xxhash64("h", "len"), known, F.xxhash64("h", "len")), "window-hits")
+    sizes, met = met.where("len = 0").select("rid", "n_words"), met.where("len > 0").select("rid", "pos", "len", "h")
+    texts = likely(numbered(docs, "text"), F.xxhash64("rid"), met, F.xxhash64("rid")).select("rid", words_of().alias("own"))
+    # a text with its hits at hand gives each hit's words; then narrow rows meet the windows
+    said = met.groupBy("rid").agg(F.collect_list(F.struct("pos", "len", "h")).alias("at")).join(texts, "rid")
+    cut = lambda x: F.struct(x["pos"], x["len"], x["h"], F.slice("own", x["pos"] + 1, x["len"]).alias("words"))
+    said = said.select("rid", F.inline_outer(F.transform("at", cut)))
+    sure = said.join(F.broadcast(w) if count <= MAX_BROADCAST_WINDOWS else w, ["h", "len", "words"])
+    return sizes, kept(sure.groupBy("rid").agg(F.collect_list(F.struct("pos", "len", "items")).alias("spans")), "window-spans")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    found = hits(docs, benchmark, width, "doc_id")
+    """doc_id, n_words, n_hit, items (sorted ids) of every document."""
+    docs = stored(docs)
+    sizes, found = hits(docs, benchmark, width)
+    none = F.array().cast("array<struct<pos:int,len:int,items:array<string>>>")
+    own = numbered(docs, "doc_id").join(sizes, "rid").join(found, "rid", "left").withColumn("spans", F.coalesce("spans", none))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1)))))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["items"]))))
-    return found.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), covered.cast("bigint").alias("n_hit"), items.alias("items"))
+    return own.select("doc_id", "n_words", covered.cast("bigint").alias("n_hit"), items.alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the documents that hold a window of the benchmark; the columns stay as they are.
-
-    A decision depends on the text alone, so rows are dropped by id and a hash of the text.
-    """
-    u = uuid.uuid4().hex
-    key, num = f"_h_{u}", f"_i_{u}"
-    two = F.xxhash64(text_of(), F.lit(1)), F.col("doc_id")
-    keyed = docs.select("text", two[1].alias(num), two[0].alias(key))
-    bad = hits(keyed, benchmark, width, num, key).where(F.size("spans") > 0).select(num, key).distinct()
-    b = bad.withColumnsRenamed({num: num + "b", key: key + "b"})
-    all_ = docs.withColumn(key, two[0]).withColumn(num, two[1])
-    return all_.join(b, F.col(num).eqNullSafe(F.col(num + "b")) & (F.col(key) == F.col(key + "b")), "left_anti").drop(key, num)
+    """docs without the documents that hold a window of the benchmark; the columns stay as they are."""
+    docs = stored(docs)
+    return without(docs, hits(docs, benchmark, width)[1].select("rid"))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """doc_id and the words of each text that no benchmark window covers, joined by single spaces."""
-    keyed = docs.select("doc_id", "text", words_of().alias("kept_words"))
-    found = hits(keyed, benchmark, width, "doc_id", "kept_words")
-    inside = lambda i: F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
-    return found.select("doc_id", F.array_join(F.filter("kept_words", lambda _, i: ~inside(i)), " ").alias("text"))
+    docs = stored(docs)
+    found = hits(docs, benchmark, width)[1]
+    own = numbered(docs, "doc_id", words_of().alias("own")).join(found, "rid", "left")
+    inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("own") - 1), inside)
+    words = F.when(F.col("spans").isNull(), F.col("own")).otherwise(F.transform(left, lambda i: F.get("own", i)))
+    return own.select("doc_id", F.array_join(words, " ").alias("text"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,23 +7,19 @@ on full bytes afterwards, so a collision of digests can't drop a text.
 
 Defined results: a null text is the empty text, and empty texts equal one another; a null
 identifier counts as larger than any other; rows with the same text and the same
-identifier are told apart by the content locator, of which the smallest stays. No rows
-give no rows. Other columns are not looked at, whatever their names.
+identifier are told apart by the content locator (file and row as one number), of which the
+smallest stays. No rows give no rows; texts are compared whole, however long. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, kept, scratch, stored, text_of
+from .common import SPACE_RUN, kept, likely, numbered, scratch, stored, text_of, without
 
 #: A digest with more than one HOT-th of all rows is handled apart.
 HOT = 256
-#: Slots of 64 bits of the hit filter, one broadcast row each. With so many hits that it fills up more texts move; the rows stay the same.
-SLOTS = 1 << 20
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,13 +27,6 @@ def normalised():
     return F.regexp_replace(text_of(), SPACE_RUN, " ")
 
 
-def with_locator(docs: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The columns (all if none are named) and name: file and row of the text. docs comes straight from files."""
-    own = [docs[c] for c in columns] or ["*"]
-    meta = docs.metadataColumn("_metadata")
-    return docs.select(*own, F.concat_ws("#", meta["file_path"], F.format_string("%020d", meta["row_index"])).alias(name))
-
-
 def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, partitions: int | None) -> DataFrame:
     """Drain the digest rows under source through the keyed state; one row for each digest."""
     out, check = scratch(spark, "dedup-state"), scratch(spark, "dedup-stream")
@@ -59,13 +48,13 @@ def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, pa
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    found = spark.read.schema("digest string, keeper struct<absent:boolean,doc_id:bigint,loc:string>, n bigint, batch int").option("basePath", out)
+    found = spark.read.schema("digest string, keeper struct<absent:boolean,doc_id:bigint,loc:bigint>, n bigint, batch int").option("basePath", out)
     try:
         found = found.parquet(f"{out}/batch=*")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "digest string, keeper struct<absent:boolean,doc_id:bigint,loc:string>, n bigint")
+        return spark.createDataFrame([], "digest string, keeper struct<absent:boolean,doc_id:bigint,loc:bigint>, n bigint")
     # Counts rise and keepers fall, so the last state of a digest is its largest count.
     return found.groupBy("digest").agg(F.min("keeper").alias("keeper"), F.max("n").alias("n"))
 
@@ -73,7 +62,7 @@ def run_state(spark: SparkSession, source: str, schema, files_per_batch: int, pa
 def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and loc (the locator)."""
     spark = docs.sparkSession
-    docs = with_locator(stored(docs), "_loc", "doc_id", "text")
+    docs = numbered(docs, "doc_id", "text", name="_loc")
     rows = kept(
         docs.select(
             F.sha2(normalised().cast("binary"), 256).alias("digest"),
@@ -83,7 +72,7 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
     )
     path = rows.inputFiles()[0].rpartition("/")[0] if rows.inputFiles() else None
     if path is None:
-        state = spark.createDataFrame([], "digest string, keeper struct<absent:boolean,doc_id:bigint,loc:string>, n bigint")
+        state = spark.createDataFrame([], "digest string, keeper struct<absent:boolean,doc_id:bigint,loc:bigint>, n bigint")
     else:
         state = run_state(spark, path, rows.schema, files_per_batch, state_partitions)
     hits = kept(state.where("n > 1"), "dedup-hits")
@@ -110,14 +99,6 @@ def classes(docs: DataFrame, files_per_batch: int = 4096, state_partitions: int
     )
 
 
-def hit_bits(digest: Column) -> tuple[Column, Column]:
-    """The place of a digest in the hit filter: a slot, and two of its 64 bits."""
-    h = F.xxhash64(digest)
-    one = F.lit(1).cast("bigint")
-    mask = F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int")).bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")))
-    return F.pmod(h, F.lit(SLOTS)), mask
-
-
 def false_hits(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
     """Compare full bytes of all rows that share a digest; returns the rows of digests with unlike texts, if any.
 
@@ -125,11 +106,9 @@ def false_hits(docs: DataFrame, hits: DataFrame) -> DataFrame | None:
     that it takes for such) move. Within a digest the smallest and the largest text are kept, by a partial
     aggregation first: of a hot digest each task sends one row.
     """
-    slot, mask = hit_bits(F.col("digest"))
-    field = hits.select(slot.alias("slot"), mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
     texts = docs.select(F.sha2(normalised().cast("binary"), 256).alias("digest"), normalised().alias("body"), "_loc")
-    likely = texts.withColumn("slot", slot).withColumn("mask", mask).join(F.broadcast(field), "slot").where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"))
-    seen = likely.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+    hash_ = F.xxhash64("digest")
+    seen = likely(texts, hash_, hits, hash_).groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high"))
     wrong = kept(seen.where("low <> high").select("digest"), "dedup-collisions")
     if wrong.isEmpty():
         return None
@@ -152,9 +131,8 @@ def split_collisions(base: DataFrame, bad: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows that another row's text makes superfluous; the columns stay as they are."""
-    docs, loc = stored(docs), f"_loc_{uuid.uuid4().hex}"
-    drop = classes(docs).where(~F.col("kept")).select(F.col("loc").alias(loc))
-    return with_locator(docs, loc).join(drop, loc, "left_anti").drop(loc)
+    docs = stored(docs)
+    return without(docs, classes(docs).where(~F.col("kept")).select(F.col("loc").alias("rid")))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

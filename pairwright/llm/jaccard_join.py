@@ -29,15 +29,13 @@ only where all are null). docs must be a stored table: it is read several times.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, kept, mix, numbered, stored
+from .common import MAX_BROADCAST_IDS, Block, blocks, kept, mix, numbered, stored, without
 
 WORDS = 5
 #: The threshold as a share of 100.
@@ -48,8 +46,6 @@ STARS = 4
 BEST = 8
 #: Counters of the sketch that finds frequent n-grams (a fixed size).
 COUNTERS = 1 << 18
-#: Rows of ids that are broadcast at most; beyond it they meet the texts in a shuffled join.
-MAX_BROADCAST_IDS = 1_000_000
 #: Bytes of text for each bucket of prefixes.
 BUCKET_BYTES = 8_000_000
 LEAF = 8
@@ -557,14 +553,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, the one of the smallest doc_id (then the first as stored); the columns stay as they are."""
-    rid = f"_rid_{uuid.uuid4().hex}"
     docs = stored(docs)
     found = near_duplicates(docs, words, percent)
     stays = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stay"))
-    gone = found.join(stays, "comp").where(F.col("rid") != F.col("stay")).select(F.col("rid").alias(rid))
-    gone = kept(gone, "jaccard-gone")
-    n = gone.count()
-    return numbered(docs, "*", name=rid).join(F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone, rid, "left_anti").drop(rid)
+    return without(docs, found.join(stays, "comp").where(F.col("rid") != F.col("stay")).select("rid"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 from pairwright.llm import exact_dedup
+from pairwright.llm.common import numbered
 
 
 def test_edge_rows(edge):
@@ -39,8 +40,8 @@ def test_several_batches_give_one_state(spark, make):
 def test_collided_digests_are_told_apart(spark, make):
     """Rows that share a digest but not their bytes are grouped anew by their texts."""
     docs = make([(1, "a", "en", "s"), (2, "b", "en", "s"), (3, "a", "en", "s")])
-    at = exact_dedup.with_locator(docs, "loc", "doc_id", "text")
+    at = numbered(docs, "doc_id", "text", name="loc")
     who = "struct(false as absent, doc_id, loc) as _who"
-    base = at.selectExpr("doc_id", "struct(false as absent, cast(1 as bigint) as doc_id, 'x' as loc) as keeper", "cast(3 as bigint) as group_size", "'same' as text_sha256", who)
+    base = at.selectExpr("doc_id", "struct(false as absent, cast(1 as bigint) as doc_id, cast(0 as bigint) as loc) as keeper", "cast(3 as bigint) as group_size", "'same' as text_sha256", who)
     out = exact_dedup.split_collisions(base, at.selectExpr("loc", "text as body", "'same' as digest")).collect()
     assert {(r.doc_id, r.keeper.doc_id, r.group_size) for r in out} == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
