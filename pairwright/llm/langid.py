@@ -6,14 +6,17 @@ candidate gets the word's mean log likelihood times a capped length, and a Viter
 a penalty for switching labels the words. The spans of equal labels are the result; the
 document's language is the one with the most letters.
 
-Defined results: null texts and texts without a letter are `und` with score 0; letters of a
-script that no learned language uses leave all languages as candidates; with no labelled
-rows at all every text is `und`. Empty tables give no rows; repeated rows are scored alike.
-Only text and lang are looked at when learning, only text when predicting.
+Defined results: a letter is a code point of Unicode category L. Null texts and texts without a
+letter are `und` with score 0; letters of a script that no learned language uses leave all
+languages as candidates; with no labelled rows at all every text is `und`. A tie goes to the
+language that is first in order. Empty tables give no rows; repeated rows are scored alike;
+texts are never cut, however long. More than MAX_LANGUAGES learned languages are refused with
+an error. Only text and lang are looked at when learning, only text when predicting.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import uuid
 
 import numpy as np
@@ -23,51 +26,57 @@ from pyspark.sql import functions as F
 
 from .common import held_out, mix
 
-#: First code points of script ranges and what they hold (None: no letters of a script of its own).
+#: First code points of ranges and the script that their letters are taken for. They only narrow a word's
+#: candidates; whether a code point is a letter is its Unicode category's to say.
 SCRIPTS = [
-    (0x0000, None), (0x0041, "latin"), (0x005B, None), (0x0061, "latin"), (0x007B, None), (0x00AA, "latin"), (0x00AB, None), (0x00B5, "latin"), (0x00B6, None),
-    (0x00BA, "latin"), (0x00BB, None), (0x00C0, "latin"), (0x00D7, None), (0x00D8, "latin"), (0x00F7, None), (0x00F8, "latin"), (0x02C2, None), (0x0370, "greek"), (0x0400, "cyrillic"),
-    (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0900, "devanagari"), (0x0980, "other"), (0x0E00, "thai"), (0x0E80, "other"),
-    (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, None), (0x2C00, "other"), (0x2E00, None), (0x3040, "kana"), (0x3100, "other"),
-    (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, None), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFE00, None), (0xFF21, "latin"), (0xFF3B, None), (0xFF41, "latin"), (0xFF5B, None), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, None), (0x10000, "other"), (0x20000, "han"), (0x30000, None),
+    (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x0870, "arabic"),
+    (0x0900, "devanagari"), (0x0980, "other"), (0x0E00, "thai"), (0x0E80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1C80, "cyrillic"), (0x1C90, "georgian"), (0x1CC0, "other"),
+    (0x1D00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x2D00, "georgian"), (0x2D30, "other"), (0x2DE0, "cyrillic"), (0x2E00, "other"), (0x3040, "kana"), (0x3100, "other"),
+    (0x3130, "hangul"), (0x3190, "other"), (0x31F0, "kana"), (0x3200, "other"), (0x3400, "han"), (0xA000, "other"), (0xA640, "cyrillic"), (0xA6A0, "other"), (0xA720, "latin"), (0xA800, "other"), (0xA8E0, "devanagari"),
+    (0xA900, "other"), (0xA960, "hangul"), (0xA980, "other"), (0xAB30, "latin"), (0xAB70, "other"), (0xAC00, "hangul"), (0xD800, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB13, "armenian"), (0xFB1D, "hebrew"),
+    (0xFB50, "arabic"), (0xFE00, "other"), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0xFFE0, "other"), (0x20000, "han"), (0x32400, "other"),
 ]
-NAMES = sorted({s for _, s in SCRIPTS if s})
-_STARTS = np.array([a for a, _ in SCRIPTS])
-_KIND = np.array([NAMES.index(s) + 1 if s else 0 for _, s in SCRIPTS])
+NAMES = sorted({s for _, s in SCRIPTS})
+#: Of each code point: 0 for anything but a letter or mark, MARK for a combining mark, else 1 + the number of the script in NAMES.
+MARK = 255
+_CATEGORY = np.array([ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.uint8)
+_KIND = np.repeat([NAMES.index(s) + 1 for _, s in SCRIPTS], np.diff([a for a, _ in SCRIPTS] + [0x110000])).astype(np.uint8)
+_KIND[_CATEGORY != ord("L")] = 0
+_KIND[_CATEGORY == ord("M")] = MARK
 #: Hashed features of each language.
 BUCKETS = 1 << 16
 #: Languages that a model may hold; the tables grow with their number.
 MAX_LANGUAGES = 256
 #: Code points that are worked on at a time.
 CHUNK = 1_000_000
+#: Cells of (gram, language) that are added at a time.
+TABLE_CELLS = 8_000_000
 #: Words between Viterbi passes (a text is never cut).
 PASS_WORDS = 3_000_000
 
 
-def script_of(points: np.ndarray) -> np.ndarray:
-    """0 for anything but a letter, else 1 + the number of the script in NAMES."""
-    return _KIND_TABLE[np.minimum(points, 0x30000)]
-
-
-_KIND_TABLE = np.repeat(_KIND, np.diff(np.append(_STARTS, 0x30001))).astype(np.uint8)
-
-
 class Words:
-    """Runs of letters of some texts: code points folded to lower case where that is one code point, padded by marks."""
+    """Runs of letters, and of combining marks between and after them, of some texts; code points folded to lower case
+    where that is one code point."""
 
     def __init__(self, texts: list[str]):
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         ends = np.cumsum(sizes + 1) - 1
-        kind = script_of(points)
-        letter = kind > 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], letter, [False])).astype(np.int8)))
-        self.start, self.end = edge[::2], edge[1::2]
+        kind = _KIND[points]
+        letter = (kind > 0) & (kind < MARK)
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], kind > 0, [False])).astype(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        before = np.concatenate(([0], np.cumsum(letter)))
+        some = before[end] > before[start]
+        start, end = start[some], end[some]
+        places = np.flatnonzero(letter)
+        self.start, self.end = (places[before[start]] if len(start) else start), end  # a word begins with a letter
         self.first = np.searchsorted(self.start, ends - sizes)
         self.last = np.searchsorted(self.start, ends)
         self.script = kind[self.start]
-        upper = (points < 0x530) & letter
+        upper = (points < len(_LOWER)) & letter
         low = points.copy()
         low[upper] = _LOWER[points[upper]]
         self.points = low
@@ -104,7 +113,7 @@ class Words:
             yield (mix(h[whole] + np.uint64(k)) >> np.uint64(48)).astype(np.int64), word[:m][whole]
 
 
-_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x530)])
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x2000)])
 
 
 def _chunks(texts: list[str]):
@@ -158,10 +167,17 @@ class Model:
         n = len(w.start)
         out = np.zeros((n, len(self.languages)), np.float32)
         seen = np.zeros(n, np.int64)
+        step = max(1, TABLE_CELLS // len(self.languages))
         for bucket, word in w.grams():
+            if not len(word):
+                continue
             seen += np.bincount(word, minlength=n)
-            for i in range(len(self.languages)):
-                out[:, i] += np.bincount(word, weights=self.table[bucket, i], minlength=n)
+            # words come in order, so the rows of a word are neighbours; they are added for all languages at once
+            at = np.flatnonzero(np.diff(word, prepend=-1))
+            cut = np.append(at[np.unique(np.searchsorted(at, np.arange(0, len(word), step)).clip(0, len(at) - 1))], len(word))
+            for x, y in zip(cut[:-1], cut[1:]):
+                own = at[np.searchsorted(at, x) : np.searchsorted(at, y)]
+                out[word[own]] += np.add.reduceat(self.table[bucket[x:y]], own - x, axis=0)
         out *= (np.minimum(w.length, 8) / np.maximum(seen, 1))[:, None]
         out -= out.max(1, keepdims=True)
         out[~self.uses[w.script]] = -50.0
@@ -279,9 +295,10 @@ def fit(rows: DataFrame, penalty: float = 4.0) -> Model:
 
 
 def predict(docs: DataFrame, model: Model, *carry: str, spans: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs' columns `carry`, lang_pred, score (and spans)."""
+    """docs' columns `carry`, lang_pred, score (and spans), which replace carried columns of these names."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    carry = [c for c in carry if c not in (*names, *(["spans"] if spans else []))]
     own = docs.select(*[docs[c] for c in carry])
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     tail = f"`{names[0]}` string, `{names[1]}` double" + (", spans array<struct<lang:string,start:bigint,end:bigint>>" if spans else "")
