@@ -6,7 +6,7 @@ mask, and which role may follow which. Rows stream in the order of their convers
 conversation nor a partition is gathered in memory. Each turn gives segments: header, text
 and end mark, each with a loss flag. Control strings inside texts are escaped: every
 occurrence of the escape character or of a mark's first character is replaced by the escape
-character and a digit, and the reader reverses it.
+character and a code of one character, and the reader reverses it. Texts are formatted whole, however long.
 
 Defined results: a null text is empty; a null role is the empty role, which no rule admits;
 a null turn comes first; rows of one turn are ordered by role and text; rows with a null
@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Characters that may follow the escape character.
+CODES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 @dataclass(frozen=True)
 class Template:
     """What a formatted turn looks like: open + role + head + text + end."""
@@ -42,19 +46,29 @@ class Template:
     #: Control strings of other templates that texts must not carry through either.
     controls: tuple[str, ...] = ("[INST]", "[/INST]", "<s>", "</s>")
 
+    def __post_init__(self):
+        firsts = {m[:1] for m in (self.open, self.head, self.end, *self.controls)}
+        if len(self.escape) != 1 or "" in firsts or self.escape in firsts:
+            raise ValueError("the escape is one character, and marks and control strings begin with others")
+        if len(self.codes()) <= len(firsts):
+            raise ValueError("marks and control strings begin with too many different characters")
+
     def specials(self) -> list[str]:
-        firsts = {m[0] for m in (self.open, self.head, self.end, *self.controls)}
-        return [self.escape, *sorted(firsts - {self.escape})]
+        return [self.escape, *sorted({m[0] for m in (self.open, self.head, self.end, *self.controls)})]
+
+    def codes(self) -> str:
+        """What follows the escape, in the order of specials(); none of these is special itself."""
+        return "".join(c for c in CODES if c not in self.specials())
 
     def escaped(self, text: str) -> str:
-        for i, c in enumerate(self.specials()):
-            text = text.replace(c, f"{self.escape}{i}") if i else text.replace(c, f"{self.escape}0")
+        for c, code in zip(self.specials(), self.codes()):
+            text = text.replace(c, self.escape + code)
         return text
 
     def plain(self, text: str) -> str:
+        back = dict(zip(self.codes(), self.specials()))
         parts = text.split(self.escape)
-        s = self.specials()
-        return parts[0] + "".join(s[int(p[0])] + p[1:] for p in parts[1:])
+        return parts[0] + "".join(back[p[0]] + p[1:] for p in parts[1:])
 
 
 SEGMENT = "conv_id bigint, seq bigint, kind string, text string, loss boolean, error string"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import cloudpickle
@@ -34,9 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns as a stored table; the tables that were written on the way are deleted."""
+    _made.append([])
+    try:
+        out = kept(make(), name)
+    finally:
+        paths = _made.pop()
+    for path in paths[:-1]:  # the last one is the result's
+        remove(spark, path)
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -44,6 +44,8 @@ PERCENT = 75
 STARS = 4
 #: Candidates of each document and group that are verified before all others.
 BEST = 8
+#: A star with more than one HOT-th of all sets is handled apart.
+HOT = 256
 #: Counters of the sketch that finds frequent n-grams (a fixed size).
 COUNTERS = 1 << 18
 #: Bytes of text for each bucket of prefixes.
@@ -511,8 +513,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # stars
     keys = reps.select("rid", "n", F.posexplode("stars").alias("k", "star")).where(F.col("k") < stars)
-    lead = keys.groupBy("k", "star").agg(F.min(F.struct("rid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    near = keys.join(lead, ["k", "star"]).where(F.col("lead.rid") != F.col("rid"))
+    lead = kept(keys.groupBy("k", "star").agg(F.min(F.struct("rid", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1"), "jaccard-stars")
+    # a star of a 256th of all sets is hot; there are 256 of each order at most, so they can be broadcast
+    large = max(2, reps.count() // HOT)
+    hot, cold = F.broadcast(lead.where(F.col("m") >= large)), lead.where(F.col("m") < large)
+    near = keys.join(hot, ["k", "star"]).unionByName(keys.join(hot.select("k", "star"), ["k", "star"], "left_anti").join(cold, ["k", "star"])).where(F.col("lead.rid") != F.col("rid"))
     near = near.where((100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")))
     links = verified(near.select(F.col("lead.rid").alias("a"), F.col("rid").alias("b")), texts, words, percent)
     comp = components(links)

@@ -17,10 +17,11 @@ another place, in the same text or in another. All strings count, at every offse
 4. The spans of each text are merged and cut out.
 
 Grams are compared by 64-bit hashes when choosing what to sort; what is removed follows from
-compared bytes, but for contexts of one block, which are told apart by 64-bit hashes.
+compared bytes alone.
 
 Defined results: null counts as empty; texts shorter than the width are left alone; repeated
-rows repeat each other wholly; no rows give no rows. Other columns are not looked at.
+rows repeat each other wholly; no rows give no rows; texts are looked at whole, however long.
+Other columns are not looked at; carried ones with the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -186,6 +187,13 @@ def contexts(width: int, buckets: int, grams):
                 h, digest, where, text, left, right = (x[order] for x in (h, digest, where, text, left, right))
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (digest[1:] != digest[:-1])
+                raw = block.raw.tobytes()
+                begin, stop = (where - left).tolist(), (where + right).tolist()
+                first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+                again = np.flatnonzero(~new)
+                unlike = [i for i, j in zip(again.tolist(), first[again].tolist()) if raw[begin[i] : stop[i]] != raw[begin[j] : stop[j]]]
+                if unlike:  # a collision: all contexts of its hash go on to the sorting
+                    new |= np.isin(first, first[unlike])
                 group = np.cumsum(new) - 1
                 many = (np.bincount(group) > 1)[group]
                 settled = many & (left + right >= width)
@@ -201,7 +209,6 @@ def contexts(width: int, buckets: int, grams):
                 order = np.argsort(bucket, kind="stable")
                 cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
                 ids, blobs = [], []
-                raw = block.raw.tobytes()
                 for x, y in zip(cut[:-1], cut[1:]):
                     i = order[x:y]
                     head = np.zeros(len(i), [("rid", "<i8"), ("pos", "<i4"), ("left", "<u2"), ("right", "<u2"), ("many", "?")])
@@ -435,6 +442,7 @@ def remove_repeats(docs: DataFrame, *carry: str, width: int = WIDTH, with_text:
     """docs' columns `carry`, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    carry = tuple(c for c in carry if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if with_text else [])))
     own = docs.select(*[docs[c] for c in carry])
     src = numbered(docs, *[docs[c].alias(f"_c{i}") for i, c in enumerate(carry)], F.coalesce(docs["text"], F.lit("")).alias("text"))
     found = spans(src.select("rid", "text"), width, max_broadcast).groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))

@@ -257,10 +257,11 @@ def score(docs: DataFrame, model: Model, *carry: str, spans: bool = False) -> Da
     own = docs.select(*[docs[c] for c in carry])
     head = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema]
     src = docs.select(*[docs[c] for c in carry], *([] if "text" in carry else [docs["text"]]))
-    known = docs.sparkSession.sparkContext.broadcast(model)  # the screened marks, 16 bytes each
+    # the screened marks, 16 bytes each; plain values, as workers can't import this module
+    known = docs.sparkSession.sparkContext.broadcast((model.marks, model.weights, model.bias, model.missed, model.wrong))
 
     def run(batches):
-        yield from scorer(known.value, carry, spans)(batches)
+        yield from scorer(Model(*known.value), carry, spans)(batches)
 
     return src.mapInArrow(run, ", ".join([*head, "score double", *(["sentences array<string>"] if spans else [])]))
 

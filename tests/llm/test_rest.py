@@ -64,7 +64,7 @@ def test_toxicity_finds_sentences(spark, edge, empty):
 def test_quality_held_out(spark, edge, empty):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    m = quality.fit(docs, labels.where(~held_out(5, 0)), rows=2000, pool=1500)
+    m = quality.fit(docs, labels.where(~held_out(5, 0)), rows=2000, sure=120)
     j = quality.score(docs, m, "doc_id").join(labels.where(held_out(5, 0)), "doc_id")
     assert j.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("quality")).cast("int"))).first()[0] > 0.92
     assert quality.score(edge, m, "doc_id").where("score between 0 and 1").count() == 12 and quality.score(empty, m, "doc_id").count() == 0
