@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Defined results: null, empty and letter-free texts go in the first stage, and so does all if no row has a language to
+learn from; repeated rows are one from the second stage on, also where their ids are null; an empty table, or one of
+which nothing is left, gives no rows; without benchmark rows the fourth stage keeps all. Texts are looked at whole,
+however long. Further columns stay as they are, whatever their names; the last stage adds mix_copies, mix_size and
+mix_target, which replace columns of these names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing
-from pairwright.llm.common import kept
+from pairwright.llm.common import stored_alone
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +48,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages leave of documents. Tables that a stage writes on the way are deleted when its result is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
