@@ -2,31 +2,39 @@
 
 Two views of a document: its text (hashed words and word shapes, repetition) and its page
 metadata (language, source, length, layout of lines and characters). A logistic model for
-each view is fitted on the labelled rows; in each round each view names the unlabelled
-documents that it is surest of, and they join the other view's training rows. Then each
-view is calibrated (Platt) on labelled rows kept aside, and the calibrated views are
-combined by a last logistic fit on those rows.
+each view is fitted on the labelled rows; in each round each view scores all documents
+outside these rows, names the SURE that it is surest of, and they join the other view's
+training rows. Then each view is calibrated (Platt) on labelled rows kept aside, and the
+calibrated views are combined by a last logistic fit on those rows.
 
-TRAIN_ROWS and POOL_ROWS bound the labelled rows that are fitted and the unlabelled pool
-(the smallest id hashes); every document is scored on its whole text.
+TRAIN_ROWS bounds the labelled rows that are fitted (those of the smallest id hashes); what a
+round adds is the parameter SURE, and all documents stand for choice. Every document is
+scored on its whole text.
 
 Defined results: null and empty texts have zero text features; a null source or language is
-a value of its own; label rows without label or document are not used; with labels of
-fewer than two kinds every score is the share of ones among them (0.5 without any).
+a value of its own; label rows without label or document are not used, several label rows of
+an id all count; with labels of fewer than two kinds every score is the share of ones among
+them (0.5 without any). Repeated rows are scored alike, and of rows with equal scores, as copies
+have, one at most joins a round's training rows, that of the smallest number. Empty tables give no rows.
+Of the carried columns one named score is replaced; others are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, held_out, mix, prefix_hash, range_hash
+from .common import Block, blocks, held_out, kept, mix, numbered, prefix_hash, range_hash, stored
 from .toxicity import labelled_sample
 
 TRAIN_ROWS = 5000
-POOL_ROWS = 8000
+#: Documents that each view names in each round.
+SURE = 640
+ROUNDS = 2
 WORDS, SHAPES, FACTS = 512, 256, 4
 TAGS, LAYOUT = 64, 8
 _UPPER, _LOWER, _DIGIT, _OTHER = 1, 2, 3, 4
@@ -35,6 +43,12 @@ _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A], _CLASS[0x80:] = _UPPER,
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 
 
+def tag_place(field: int, value: str | None) -> int:
+    """The column of a tag, by a hash of the whole value and its field; null is a value of its own."""
+    own = b"" if value is None else b"=" + value.encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(b"%d" % field + own, digest_size=8).digest(), "little") % TAGS
+
+
 def features(texts: list[bytes], tags: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """Text view and metadata view, a row for each text."""
     n = len(texts)
@@ -77,8 +91,7 @@ def features(texts: list[bytes], tags: list[tuple]) -> tuple[np.ndarray, np.ndar
     meta = np.zeros((n, TAGS + LAYOUT), np.float32)
     for i, own in enumerate(tags):
         for k, v in enumerate(own):
-            h = int.from_bytes(f"{k}:{v}".encode()[-8:].rjust(8, b"\0"), "little")
-            meta[i, int(mix(np.array([h], np.uint64))[0] % np.uint64(TAGS))] = 1
+            meta[i, tag_place(k, v)] = 1
     bounds = np.stack((block.starts, block.ends), 1).ravel()
     size = np.maximum(block.ends - block.starts, 1)
     for k, mask in enumerate((kind == _UPPER, kind == _DIGIT, kind == _OTHER, kind == 0, raw == 0x0A, raw == 0x7C)):
@@ -113,39 +126,18 @@ def logit(model, x: np.ndarray) -> np.ndarray:
     return ((x - mean) / scale) @ w + b
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, share: float = 0.08):
-    """Models of the two views, their calibration and the combination: what Model needs."""
-    n = len(y)
-    aside = mix(np.arange(n, dtype=np.uint64)) % np.uint64(10) < 3
-    base = float(y.mean()) if n else 0.5
-    if n < 20 or len(set(y[~aside].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
-        return None, None, base
-    own_x = [[v[~aside]] for v in views]
-    own_y = [[y[~aside].astype(np.float64)] for _ in views]
-    free = np.ones(len(pool[0]), bool)
-    models = []
-    for r in range(rounds + 1):
-        models = [fit_logistic(np.concatenate(x), np.concatenate(t), np.concatenate([np.full(len(a), 1.0 if i == 0 else 0.3) for i, a in enumerate(t)])) for x, t in zip(own_x, own_y)]
-        if r == rounds or not free.any():
-            break
-        for k in (0, 1):
-            at = np.flatnonzero(free)
-            if not len(at):
-                break
-            s = logit(models[k], pool[k][at])
-            top = int(len(pool[0]) * share)
-            up, down = max(1, int(top * base)), max(1, int(top * (1 - base)))
-            order = np.argsort(s, kind="stable")
-            sure = np.concatenate((order[:down][s[order[:down]] < 0], order[-up:][s[order[-up:]] > 0]))
-            own_x[1 - k].append(pool[1 - k][at[sure]])
-            own_y[1 - k].append((s[sure] > 0).astype(np.float64))
-            free[at[sure]] = False
-    sides = np.stack([logit(m, v[aside]) for m, v in zip(models, views)], 1).astype(np.float32)
-    t = y[aside].astype(np.float64)
-    platt = [fit_logistic(sides[:, [k]], t, np.ones(len(t)), 400, 0.05, 0.0) for k in (0, 1)]
-    calibrated = np.stack([logit(p, sides[:, [k]]) for k, p in enumerate(platt)], 1).astype(np.float32)
-    last = fit_logistic(calibrated, t, np.ones(len(t)), 400, 0.05, 1e-3)
-    return models, (platt, last), base
+def joined(parts) -> tuple:
+    """A model of all training rows of a view; pseudo-labels weigh less."""
+    x, y = zip(*parts)
+    return fit_logistic(np.concatenate(x), np.concatenate(y), np.concatenate([np.full(len(a), 1.0 if i == 0 else 0.3) for i, a in enumerate(y)]))
+
+
+def calibrated(models, sides: list[np.ndarray], y: np.ndarray):
+    """Platt scaling of each view and the combination of the calibrated views, on rows kept aside."""
+    sides = np.stack([logit(m, v) for m, v in zip(models, sides)], 1).astype(np.float32)
+    platt = [fit_logistic(sides[:, [k]], y, np.ones(len(y)), 400, 0.05, 0.0) for k in (0, 1)]
+    both = np.stack([logit(p, sides[:, [k]]) for k, p in enumerate(platt)], 1).astype(np.float32)
+    return platt, fit_logistic(both, y, np.ones(len(y)), 400, 0.05, 1e-3)
 
 
 def combined(model, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
@@ -176,24 +168,73 @@ def _extract(batches):
 
 
 def _gathered(rows: DataFrame):
+    """rows: doc_id, _y, text, lang, source. Ids, features of both views, _y."""
     got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("_y").cast("int").alias("_y"), "text", "lang", "source").mapInArrow(_extract, "doc_id bigint, _y int, text binary, meta binary").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("_y", "ascending")])
+    got = got.sort_by([("doc_id", "ascending"), ("_y", "ascending"), ("text", "ascending"), ("meta", "ascending")])
     view = lambda c, w: np.frombuffer(b"".join(got.column(c).to_pylist()), np.float32).reshape(-1, w)
-    return [view("text", WORDS + SHAPES + FACTS), view("meta", TAGS + LAYOUT)], np.array(got.column("_y").to_pylist(), np.float64)
+    return [view("text", WORDS + SHAPES + FACTS), view("meta", TAGS + LAYOUT)], got.column("_y").to_numpy().astype(np.int64)
+
+
+def _logits(models):
+    """mapInArrow function: (rid, text, lang, source) to (rid, logit of each view)."""
+
+    def run(batches):
+        for batch in batches:
+            sides = [[logit(m, v) for m, v in zip(models, views)] for views in _features_of(batch)]
+            both = [np.concatenate([s[k] for s in sides] or [np.zeros(0)]).astype(np.float64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(both[0]), pa.array(both[1])], names=["rid", "s0", "s1"])
+
+    return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, pool: int = POOL_ROWS):
-    """docs: doc_id, text, lang, source."""
-    docs = docs.select("doc_id", "text", "lang", "source")
-    views, y = _gathered(labelled_sample(docs, labels, label, rows, ("text", "lang", "source")))
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).distinct()
-    free, _ = _gathered(docs.join(F.broadcast(ids), "doc_id").withColumn("_y", F.lit(None).cast("int")))
-    return co_train(views, y, free)
+def surest(scored: DataFrame, view: int, up: int, down: int) -> list[tuple[int, int]]:
+    """(rid, 2 * view + label) of the documents that a view is surest of. Copies have one score and count once."""
+    s = f"s{view}"
+    one = scored.groupBy(s).agg(F.min("rid").alias("rid"))
+    high = one.where(F.col(s) > 0).orderBy(F.col(s).desc()).limit(up).collect()
+    low = one.where(F.col(s) < 0).orderBy(s).limit(down).collect()
+    return [(r["rid"], 2 * view + 1) for r in high] + [(r["rid"], 2 * view) for r in low]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, sure: int = SURE, rounds: int = ROUNDS):
+    """docs: doc_id, text, lang, source. What comes to the driver: features of `rows` labelled rows and of 2 * sure documents a round."""
+    spark = docs.sparkSession
+    docs = stored(docs.select("doc_id", "text", "lang", "source"))
+    sample = labelled_sample(docs, labels, label, rows, ("text", "lang", "source"))
+    views, y = _gathered(sample.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows))
+    n = len(y)
+    aside = mix(np.arange(n, dtype=np.uint64)) % np.uint64(10) < 3
+    base = float(y.mean()) if n else 0.5
+    if n < 20 or len(set(y[~aside].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
+        return None, None, base
+    parts = [[(v[~aside], y[~aside].astype(np.float64))] for v in views]
+    used = labels.where(F.col(label).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("doc_id").alias("_id")).limit(rows)
+    free = numbered(docs, "doc_id", "text", "lang", "source").join(F.broadcast(used), F.col("doc_id") == F.col("_id"), "left_anti")
+    taken: list[tuple[int, int]] = []
+    for r in range(rounds + 1):
+        models = [joined(p) for p in parts]
+        if r == rounds:
+            break
+        scored = kept(free.select("rid", "text", "lang", "source").mapInArrow(_logits(models), "rid bigint, s0 double, s1 double"), "quality-logits")
+        gone = F.broadcast(spark.createDataFrame([(rid,) for rid, _ in taken], "rid bigint"))  # at most 2 * sure a round
+        scored = scored.join(gone, "rid", "left_anti")
+        up, down = max(1, int(sure * base)), max(1, int(sure * (1 - base)))
+        named = [x for k in (0, 1) for x in surest(scored, k, up, down)]
+        if not named:
+            break
+        ids = F.broadcast(spark.createDataFrame(named, "rid bigint, _y int"))
+        new, what = _gathered(free.drop("doc_id").join(ids, "rid").withColumnRenamed("rid", "doc_id"))
+        for k in (0, 1):
+            own = what // 2 == k
+            parts[1 - k].append((new[1 - k][own], (what[own] % 2).astype(np.float64)))
+        taken += named
+    return models, calibrated(models, [v[aside] for v in views], y[aside].astype(np.float64)), base
 
 
 def score(docs: DataFrame, model, *carry: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    carry = tuple(c for c in carry if c != "score")
     own = docs.select(*[docs[c] for c in carry])
     arrow = to_arrow_schema(own.schema)
     schema = pa.schema([*arrow, pa.field("score", pa.float64())])
