@@ -250,14 +250,21 @@ class Block:
         return range_hash(prefix_hash(self.raw), self.word_start, self.word_end)
 
 
+def values(column, step: int = 256):
+    """The values of an Arrow column, of which few are Python objects at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def blocks(batch, size: int = 2_000_000):
     """Cut an Arrow batch by bytes of text: pairs (row numbers from, to, texts as bytes)."""
-    texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-    at, total = 0, 0
-    for i, t in enumerate(texts):
+    at, total, texts = 0, 0, []
+    for t in values(batch.column("text")):
+        t = b"" if t is None else t.encode("utf-8", "surrogatepass")
         if total and total + len(t) > size:
-            yield at, i, texts[at:i]
-            at, total = i, 0
+            yield at, at + len(texts), texts
+            at, total, texts = at + len(texts), 0, []
+        texts.append(t)
         total += len(t) + 1
-    if at < len(texts):
-        yield at, len(texts), texts[at:]
+    if texts:
+        yield at, at + len(texts), texts

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_IDS, Block, blocks, kept, mix, numbered, stored, without
+from .common import MAX_BROADCAST_IDS, Block, blocks, kept, mix, numbered, stored, values, without
 
 WORDS = 5
 #: The threshold as a share of 100.
@@ -106,7 +106,7 @@ def facts(words: int):
     def run(batches):
         for batch in batches:
             rid, ids = batch.column("rid"), batch.column("doc_id")
-            for a, b, texts in blocks(batch):
+            for a, b, texts in blocks(batch, 1_000_000):
                 t, h = shingle_sets(texts, words)
                 n = np.bincount(t, minlength=len(texts))
                 first = np.cumsum(n) - n
@@ -140,23 +140,28 @@ def linked_pairs(words: int, percent: int):
     def run(batches):
         for batch in batches:
             a, b = batch.column("a"), batch.column("b")
-            left, right = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-            keep, at, size = [], 0, 0
-            for i in range(len(left) + 1):
-                if i == len(left) or size + len(left[i]) + len(right[i]) > 2_000_000 and i > at:
-                    if i > at:
-                        raw = [x.encode("utf-8", "surrogatepass") for x in left[at:i] + right[at:i]]
-                        t, h = shingle_sets(raw, words)
-                        k = i - at
-                        pair = t % k
-                        order = np.lexsort((h, pair))
-                        same = (pair[order][1:] == pair[order][:-1]) & (h[order][1:] == h[order][:-1])
-                        both = np.bincount(pair[order][1:][same], minlength=k)
-                        either = np.bincount(pair, minlength=k) - both
-                        keep.append((100 * both >= percent * either) & (either > 0))
-                    at, size = i, 0
-                if i < len(left):
-                    size += len(left[i]) + len(right[i])
+            keep, left, right, size = [], [], [], 0
+
+            def settle(left, right):
+                t, h = shingle_sets(left + right, words)
+                k = len(left)
+                pair = t % k
+                order = np.lexsort((h, pair))
+                same = (pair[order][1:] == pair[order][:-1]) & (h[order][1:] == h[order][:-1])
+                both = np.bincount(pair[order][1:][same], minlength=k)
+                either = np.bincount(pair, minlength=k) - both
+                return (100 * both >= percent * either) & (either > 0)
+
+            for x, y in zip(values(batch.column("text_a"), 64), values(batch.column("text_b"), 64)):
+                x, y = x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")
+                if left and size + len(x) + len(y) > 1_000_000:
+                    keep.append(settle(left, right))
+                    left, right, size = [], [], 0
+                left.append(x)
+                right.append(y)
+                size += len(x) + len(y)
+            if left:
+                keep.append(settle(left, right))
             mask = pa.array(np.concatenate(keep) if keep else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], schema=schema)
 
@@ -261,7 +266,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
         held, size, shift = [], 0, 0
         for batch in batches:
             rid, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "comp"))
-            for a, b, texts in blocks(batch):
+            for a, b, texts in blocks(batch, 1_000_000):
                 t, h = shingle_sets(texts, words)
                 n = np.bincount(t, minlength=len(texts))
                 order = np.lexsort((h, load[(h >> _U(46)).astype(np.int64)], t))
@@ -270,7 +275,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
                 held.append((h[order][first], t[order][first] + shift, rid[a:b], comp[a:b], n))
                 shift += b - a
                 size += int(first.sum())
-                if size > 2_000_000:
+                if size > 700_000:
                     yield emit(press, held)
                     held, size, shift = [], 0, 0
         if held:

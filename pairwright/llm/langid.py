@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mix
+from .common import held_out, mix, values
 
 #: First code points of ranges and the script that their letters are taken for. They only narrow a word's
 #: candidates; whether a code point is a letter is its Unicode category's to say.
@@ -48,11 +48,11 @@ BUCKETS = 1 << 16
 #: Languages that a model may hold; the tables grow with their number.
 MAX_LANGUAGES = 256
 #: Code points that are worked on at a time.
-CHUNK = 1_000_000
+CHUNK = 400_000
 #: Cells of (gram, language) that are added at a time.
-TABLE_CELLS = 8_000_000
+TABLE_CELLS = 2_000_000
 #: Words between Viterbi passes (a text is never cut).
-PASS_WORDS = 3_000_000
+PASS_WORDS = 1_000_000
 
 
 class Words:
@@ -116,15 +116,17 @@ class Words:
 _LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x2000)])
 
 
-def _chunks(texts: list[str]):
-    at, total = 0, 0
-    for i, t in enumerate(texts):
+def _chunks(texts):
+    """Lists of texts of about CHUNK code points."""
+    part, total = [], 0
+    for t in texts:
         if total and total + len(t) > CHUNK:
-            yield at, texts[at:i]
-            at, total = i, 0
+            yield part
+            part, total = [], 0
+        part.append(t)
         total += len(t) + 1
-    if at < len(texts):
-        yield at, texts[at:]
+    if part:
+        yield part
 
 
 def counter(languages: list[str]):
@@ -138,7 +140,7 @@ def counter(languages: list[str]):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for x in set(langs):
                 own = [t for t, y in zip(texts, langs) if y == x and t]
-                for _, part in _chunks(own):
+                for part in _chunks(own):
                     w = Words(part)
                     for bucket, _ in w.grams():
                         sums[place[x], :BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
@@ -254,12 +256,11 @@ def predictor(model: Model, carry: pa.Schema, spans: bool = False, names: tuple[
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             names, shares, places, group, words = [], [], [], [], 0
             if not model.languages:
-                names, shares, places = ["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts)
+                names, shares, places = ["und"] * len(batch), [0.0] * len(batch), [[]] * len(batch)
             else:
-                for _, part in _chunks(texts):
+                for part in _chunks(t or "" for t in values(batch.column("text"))):
                     w = Words(part)
                     s = model.word_scores(w)
                     if spans:

@@ -29,7 +29,7 @@ def test_texts_without_letters_are_und(spark):
     assert {(r.lang_pred, r.score) for r in langid.predict(rows, model, "doc_id").collect()} == {("und", 0.0)}
 
 
-@pytest.mark.parametrize("cells", [8_000_000, 40])
+@pytest.mark.parametrize("cells", [2_000_000, 40])
 def test_viterbi_is_the_best_of_all_labellings(monkeypatch, cells):
     monkeypatch.setattr(langid, "TABLE_CELLS", cells)
     g = np.random.default_rng(4)
