@@ -1,7 +1,8 @@
 """Rank, percentile and binning conventions, each under its own name.
 
-Ranks over a whole table sort it by range, not in one task: positions come from a
-range-partitioned sort, counts of partitions before it, and the place within the partition.
+Ranks over a whole table sort it by range, not in one task: a row's place is the weight of the ranges before its own
+and of the rows before it in its range. The ranges are stored, so a lost executor can't move their bounds. Ranks within
+groups are windows: a group is one task.
 """
 
 from __future__ import annotations
@@ -9,17 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 
-def _by(partition: list[str]):
-    return Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(1))
+
+_BEFORE = (Window.unboundedPreceding, -1)
+
+
+def running(df: DataFrame, order: list[Column], weight: Column) -> DataFrame:
+    """Adds _below, the weight of the rows before a row in a full order, and _total, that of all rows."""
+    x = stored(df.withColumn("_w", weight.cast("bigint")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = x.groupBy("_part").agg(F.sum("_w").alias("_p"))  # one row for each range
+    every = Window.partitionBy(F.lit(1))
+    parts = parts.select("_part", F.coalesce(F.sum("_p").over(every.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias("_first"), F.sum("_p").over(every).alias("_total"))
+    here = F.coalesce(F.sum("_w").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(*_BEFORE)), F.lit(0))
+    return x.join(F.broadcast(parts), "_part").withColumn("_below", F.col("_first") + here).drop("_part", "_first", "_w")
 
 
 def value_counts(df: DataFrame, value: str, partition: list[str] | None = None) -> DataFrame:
     """One row per distinct value: n (ties), below (rows with a smaller value), total. Pre-aggregates, so windows see distinct values only."""
     partition = partition or []
     g = df.where(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count(F.lit(1)).alias("n"))
-    w = _by(partition).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(_by(partition)))
+    if not partition:
+        return running(g, [F.col(value)], F.col("n")).withColumnsRenamed({"_below": "below", "_total": "total"})
+    w = Window.partitionBy(*partition)
+    return g.withColumn("below", F.coalesce(F.sum("n").over(w.orderBy(value).rowsBetween(*_BEFORE)), F.lit(0))).withColumn("total", F.sum("n").over(w))
 
 
 def _back(df: DataFrame, counts: DataFrame, value: str, partition: list[str]) -> DataFrame:
@@ -48,8 +62,12 @@ def average_percentile(df: DataFrame, value: str, out: str, partition: list[str]
 
 def position(df: DataFrame, out: str, order: list[Column], partition: list[str] | None = None, total: str | None = None) -> DataFrame:
     """row_number from 1 in a full order (and the partition's size)."""
-    df = df.withColumn(out, F.row_number().over(_by(partition or []).orderBy(*order)).cast("bigint"))
-    return df.withColumn(total, F.count(F.lit(1)).over(_by(partition or []))) if total else df
+    if not partition:
+        x = running(df, order, F.lit(1)).withColumn(out, F.col("_below") + 1).drop("_below")
+        return x.withColumnRenamed("_total", total) if total else x.drop("_total")
+    w = Window.partitionBy(*partition)
+    df = df.withColumn(out, F.row_number().over(w.orderBy(*order)).cast("bigint"))
+    return df.withColumn(total, F.count(F.lit(1)).over(w)) if total else df
 
 
 def equal_frequency(rn: Column, n: Column, groups: int) -> Column:
@@ -94,5 +112,5 @@ def ecdf(df: DataFrame, value: str, reference: DataFrame, ref_value: str, out: s
     ref = reference.select(F.col(ref_value).alias("_v")).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     vals = df.select(F.col(value).alias("_v")).distinct().withColumn("_n", F.lit(0).cast("bigint"))
     both = ref.unionByName(vals).groupBy("_v").agg(F.sum("_n").alias("_n"))
-    run = both.withColumn("_c", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_v"))).withColumn("_t", F.sum("_n").over(Window.partitionBy(F.lit(1))))
-    return df.join(run.select(F.col("_v").alias(value), (F.col("_c") / F.col("_t")).alias(out)), value)
+    run = running(both, [F.col("_v")], F.col("_n"))
+    return df.join(run.select(F.col("_v").alias(value), ((F.col("_below") + F.col("_n")) / F.col("_total")).alias(out)), value)
