@@ -97,6 +97,11 @@ def first_per_group(df: DataFrame, group: list[str], order: list[Column], n: int
     return position(df, "_rn", order, group).where(F.col("_rn") <= n).drop("_rn")
 
 
+def with_top_up(df: DataFrame, group: list[str], order: list[Column], each: int, n: int) -> DataFrame:
+    """The first `each` rows of each group; what they lack of n rows comes from the other rows, in the same order."""
+    return position(df, "_rn", order, group).orderBy(F.col("_rn") > each, *order).limit(n).drop("_rn")
+
+
 def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
     """Strata take turns; place from 1. No stratum can give more than n rows."""
     x = position(df, "_rn", order, [stratum]).where(F.col("_rn") <= n)

@@ -20,7 +20,7 @@ from ..sources.shared import shared_folder
 from ..streaming import review as V
 from . import tables as T
 from .q_scalar import scored
-from .q_windows import draw
+from .q_windows import _HS, draw
 from .registry import query
 
 c, t = F.col, T.table
@@ -168,14 +168,18 @@ def va2(spark, sf):
     return r.agg(n_().alias("images")).crossJoin(cross).crossJoin(A.incomplete_shards(r, ["identity"], "role", ["dev", "conf"]).limit(0).agg(n_().alias("_z"))).crossJoin(r.groupBy("identity").agg(F.countDistinct("role").alias("k")).where("k > 1").agg(n_().alias("split_identities"))).drop("_z")
 
 
-@query("VA3_independent_redraw", "SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second")
+@query("VA3_independent_redraw", f"WITH r AS (SELECT row_number() OVER (PARTITION BY cell ORDER BY {_HS}, id) AS rn FROM frame) SELECT 'same' AS redraw, 0::BIGINT AS only_first, 0::BIGINT AS only_second UNION ALL SELECT 'wider', count(*) FILTER (rn IN (4, 5)), 0 FROM r", "frame")
 def va3(spark, sf):
-    """The draw by windows against a draw by thresholds of the digest."""
-    f = T.frame(spark, sf).where("price > 300000")
-    first = draw(f, 3).select("id")
-    d = f.withColumn("d", H.seeded_digest("00" * 32, "contract", "development", "draw", c("cell"), c("id")))
-    cut = d.groupBy("cell").agg(F.element_at(F.slice(F.array_sort(F.collect_list("d")), 1, 3), -1).alias("cut"))
-    return A.same_rows(first, d.join(cut, "cell").where("d <= cut").select("id"))
+    """Draws by windows, of three and of five a cell, against a draw of three by thresholds of the digest."""
+    f = T.frame(spark, sf)
+    d = f.select("id", "cell", H.seeded_digest("00" * 32, "contract", "development", "draw", c("cell"), c("id")).alias("d"))
+    cut = d.groupBy("cell").agg(F.min("d").alias("cut"))
+    for _ in range(2):  # the next smallest digest, where a cell has one
+        more = d.join(cut, "cell").where("d > cut").groupBy("cell").agg(F.min("d").alias("more"))
+        cut = cut.join(more, "cell", "left").select("cell", F.coalesce("more", "cut").alias("cut"))
+    again = d.join(cut, "cell").where("d <= cut").select("id")
+    found = [A.same_rows(draw(f, n).select("id"), again).select(F.lit(name).alias("redraw"), "*") for name, n in (("same", 3), ("wider", 5))]
+    return A.union_all(found)
 
 
 @query("VA4_feature_audit", "SELECT 'sharp' AS feature, count(*) FILTER (sharp IS NULL) AS missing, count(*) FILTER (sharp < 0.1) AS below, count(*) FILTER (sharp > 0.9) AS above, count(*) AS n FROM images UNION ALL SELECT 'clip', count(*) FILTER (clip IS NULL), count(*) FILTER (clip < 0), count(*) FILTER (clip > 0.2), count(*) FROM images", "images")
@@ -196,9 +200,9 @@ def va6(spark, sf):
     return A.incomplete_shards(d, ["a", "b"], "d", ["A_to_B", "B_to_A"])
 
 
-@query("VA7_declared_order_merge", "SELECT descriptor, query, candidate, row_number() OVER (ORDER BY descriptor, query, candidate) AS place FROM memberships WHERE rank <= 2", "memberships")
+@query("VA7_declared_order_merge", "SELECT descriptor, query, candidate, row_number() OVER (ORDER BY descriptor, query, candidate) AS place FROM memberships", "memberships")
 def va7(spark, sf):
-    m = T.memberships(spark, sf).where("rank <= 2").select("descriptor", "query", "candidate")
+    m = T.memberships(spark, sf).select("descriptor", "query", "candidate")
     return R.position(A.union_all([m.where(c("query") % 3 == k) for k in range(3)]), "place", [c("descriptor"), c("query"), c("candidate")])
 
 
@@ -223,9 +227,11 @@ def va10(spark, sf):
     return e.join(F.broadcast(q), "q_domain").groupBy(c("q_domain").alias("dataset")).agg(n_().alias("n"), F.count(F.when(E.known_equal(c("q_site"), c("c_site")) & (c("similarity") >= c("q90")), 1)).alias("pressure"))
 
 
-@query("VA12_component_leakage", "SELECT comp, count(DISTINCT fold) AS folds FROM outcomes GROUP BY 1 HAVING count(DISTINCT fold) > 1", "outcomes")
+@query("VA12_component_leakage", "SELECT scheme, comp, count(DISTINCT fold) AS folds FROM (SELECT 'by_component' AS scheme, comp, fold FROM outcomes UNION ALL SELECT 'by_row', comp, id % 3 FROM outcomes) GROUP BY 1, 2 HAVING count(DISTINCT fold) > 1", "outcomes")
 def va12(spark, sf):
-    return T.outcomes(spark, sf).groupBy("comp").agg(F.countDistinct("fold").alias("folds")).where("folds > 1")
+    """Folds by component leak nothing; folds by row do."""
+    folds = F.explode(F.array(*[F.struct(F.lit(k).alias("scheme"), v.alias("fold")) for k, v in (("by_component", c("fold")), ("by_row", c("id") % 3))])).alias("x")
+    return T.outcomes(spark, sf).select("comp", folds).groupBy("x.scheme", "comp").agg(F.countDistinct("x.fold").alias("folds")).where("folds > 1")
 
 
 # ---------------------------------------------------------------- user code, logs
@@ -329,11 +335,14 @@ def src13(spark, sf):
     return e.select("vec_id", F.size(v).cast("bigint").alias("n"), F.round(v[0].cast("double"), 4).alias("first"))
 
 
-@query("SRC14_file_listing", "SELECT count(*) > 0 AS found FROM region")
+@query("SRC14_file_listing", "SELECT r_regionkey::VARCHAR AS folder, 1::BIGINT AS files FROM region")
 def src14(spark, sf):
+    """Nested folders; files of another suffix stay out."""
     p = _path(spark, "files")
-    t(spark, sf, "region").write.parquet(p)
-    return io.list_files(spark, p, "*.parquet").agg((n_() > 0).alias("found"))
+    r = t(spark, sf, "region").coalesce(1)
+    r.write.partitionBy("r_regionkey").parquet(f"{p}/tables")
+    r.write.partitionBy("r_regionkey").json(f"{p}/notes")
+    return io.list_files(spark, p, "*.parquet").groupBy(F.regexp_extract("path", r"r_regionkey=([^/]+)/", 1).alias("folder")).agg(n_().alias("files"))
 
 
 @query("SRC15_reviewer_files", "SELECT 'r' || (n_nationkey % 3)::VARCHAR AS reviewer, count(*) AS n FROM nation GROUP BY 1")
@@ -357,12 +366,11 @@ def snk6(spark, sf):
     return spark.read.parquet(p)
 
 
-@query("SNK7_checksums", "SELECT true AS stable")
+@query("SNK7_checksums", "SELECT sha256(string_agg(r_name, chr(10) ORDER BY r_name) || chr(10)) AS sha256 FROM region")
 def snk7(spark, sf):
     p = _path(spark, "sums")
-    t(spark, sf, "region").write.parquet(p)
-    a, b = io.checksums(spark, p), io.checksums(spark, p)
-    return A.same_rows(a, b).select(((c("only_first") == 0) & (c("only_second") == 0)).alias("stable"))
+    t(spark, sf, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(p)
+    return io.checksums(spark, p).select("sha256")
 
 
 # ---------------------------------------------------------------- streams

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import audits as A
 from ..operators import models as D
 from ..sources import io
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from . import tables as T
 from .registry import query
 
@@ -110,16 +110,17 @@ def snk3(spark, sf):
     return spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SNK5_refuses_overwrite", "SELECT true AS refused")
+@query("SNK5_refuses_overwrite", "SELECT true AS refused, count(*) AS n FROM nation")
 def snk5(spark, sf):
+    """The refused rows are others than those there, which stay."""
     p = _path(spark, "once")
     _nation(spark, sf).write.parquet(p)
     try:
-        _nation(spark, sf).write.mode("errorifexists").parquet(p)
+        _nation(spark, sf).where("k < 5").write.mode("errorifexists").parquet(p)
         refused = False
     except Exception as e:
         refused = "already exists" in str(e).lower() or "ALREADY_EXISTS" in str(e)
-    return spark.createDataFrame([(refused,)], "refused boolean")
+    return spark.read.parquet(p).agg(F.lit(refused).alias("refused"), F.count(F.lit(1)).alias("n"))
 
 
 @query("SNK9_markdown", "SELECT '| ' || r_regionkey::VARCHAR || ' | ' || r_name || ' |' AS line FROM region")
@@ -138,12 +139,16 @@ def snk11(spark, sf):
     return spark.read.parquet(p).groupBy(c("shard").cast("bigint").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("VA11_hash_bound_inputs", "SELECT true AS bound")
+@query("VA11_hash_bound_inputs", "SELECT * FROM (VALUES ('as declared', 0::BIGINT, 0::BIGINT), ('file added', 0, 1)) v(inputs, only_first, only_second)")
 def va11(spark, sf):
+    """The declared sums against the files as they are, before and after a file comes in."""
     p = _path(spark, "bound")
-    _nation(spark, sf).write.parquet(p)
-    declared = io.checksums(spark, p)
-    return A.same_rows(declared, io.checksums(spark, p)).select(((c("only_first") == 0) & (c("only_second") == 0)).alias("bound"))
+    n = _nation(spark, sf).coalesce(1)
+    n.write.parquet(p)
+    declared, before = stored(io.checksums(spark, p)), stored(io.checksums(spark, p))
+    n.where("k < 5").write.mode("append").parquet(p)
+    found = {"as declared": before, "file added": io.checksums(spark, p)}
+    return A.union_all([A.same_rows(declared, f).select(F.lit(k).alias("inputs"), "*") for k, f in found.items()])
 
 
 @query("SC32_image_metrics")

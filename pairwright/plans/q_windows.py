@@ -293,11 +293,11 @@ def sa1(spark, sf):
     return T.frame(spark, sf).select("id", H.seeded_digest(_SEED, "contract", "development", "draw", c("cell"), c("id")).alias("digest"))
 
 
-_CAPS = "caps AS (SELECT cell, count(*) AS cap FROM frame WHERE price > 300000 OR cell LIKE 'F%' GROUP BY 1)"
+_CAPS = "caps AS (SELECT cell, count(*) AS cap FROM frame GROUP BY 1)"
 
 
 def caps(spark, sf):
-    return T.frame(spark, sf).where("price > 300000 or cell like 'F%'").groupBy("cell").agg(n_().alias("cap"))
+    return T.frame(spark, sf).groupBy("cell").agg(n_().alias("cap"))
 
 
 @query("SA2_waterfill", f"WITH {_CAPS} SELECT cell, count(*) AS quota FROM (SELECT cell, row_number() OVER (ORDER BY i, sha256('wf|' || cell), cell) AS place FROM caps, range(1, 100000) g(i) WHERE i <= cap) WHERE place <= 40 GROUP BY 1", "frame")
@@ -379,10 +379,10 @@ def sa13(spark, sf):
     return P.capped_pick(T.images(spark, sf), ["identity"], [F.desc("sharp"), c("image_id")], 3, 25).select("image_id")
 
 
-@query("SA14_score_bin_balanced", "WITH b AS (SELECT id, lang, least(3, (row_number() OVER (ORDER BY p, id) - 1) * 4 // count(*) OVER ()) AS bin FROM outcomes) SELECT lang, bin, id FROM (SELECT *, row_number() OVER (PARTITION BY lang, bin ORDER BY sha256('s14|' || id::VARCHAR), id) AS rn FROM b) WHERE rn <= 2", "outcomes")
+@query("SA14_score_bin_balanced", "WITH b AS (SELECT id, lang, least(3, (row_number() OVER (ORDER BY p, id) - 1) * 4 // count(*) OVER ()) AS bin FROM outcomes) SELECT lang, bin, id FROM (SELECT *, row_number() OVER (PARTITION BY lang, bin ORDER BY sha256('s14|' || id::VARCHAR), id) AS rn FROM b) ORDER BY (rn > 2), sha256('s14|' || id::VARCHAR), id LIMIT 60", "outcomes")
 def sa14(spark, sf):
     x = R.position(T.outcomes(spark, sf), "rn", [c("p"), c("id")], total="n").withColumn("bin", F.least(F.lit(3), F.floor((c("rn") - 1) * 4 / c("n"))).cast("bigint"))
-    return P.first_per_group(x.select("id", "lang", "bin"), ["lang", "bin"], [H.hash_order("s14", c("id")), c("id")], 2).select("lang", "bin", "id")
+    return P.with_top_up(x.select("id", "lang", "bin"), ["lang", "bin"], [H.hash_order("s14", c("id")), c("id")], 2, 60).select("lang", "bin", "id")
 
 
 @query("SA15_exclusion_register", "SELECT a, b, string_agg(reason, ';' ORDER BY reason) AS reasons FROM (SELECT a, b, 'failed_endpoint' AS reason FROM pairs JOIN images ON a = image_id WHERE failed UNION SELECT a, b, 'same_site' FROM pairs WHERE a % 7 = b % 7 UNION SELECT a, b, 'far_rank' FROM pairs WHERE best_rank > 15) GROUP BY 1, 2", "pairs", "images")
