@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
+from .ranks import position
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +32,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def inventory(edges: DataFrame, comps: DataFrame) -> DataFrame:
     nodes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n_nodes"))
     links = edges.join(comps, edges["a"] == comps["node"]).groupBy("comp").agg(F.count(F.lit(1)).alias("n_edges"))
-    w = Window.partitionBy(F.lit(1)).orderBy("comp")
-    return nodes.join(links, "comp").select(F.concat(F.lit("component_"), F.lpad(F.dense_rank().over(w).cast("string"), 6, "0")).alias("component_id"), "comp", "n_nodes", "n_edges")
+    placed = position(nodes.join(links, "comp"), "_place", [F.col("comp")])
+    return placed.select(F.concat(F.lit("component_"), F.lpad(F.col("_place").cast("string"), 6, "0")).alias("component_id"), "comp", "n_nodes", "n_edges")
 
 
 def hashed_components(edges: DataFrame, comps: DataFrame, facts: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def jn14(spark, sf):
 def jn15(spark, sf):
     """Counts of the positive-negative pairs from value counts: no pair is formed."""
     g = T.outcomes(spark, sf).groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - c("y")).alias("neg"))
-    g = g.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(1)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    g = ranks.running(g, [c("p")], c("neg")).withColumnRenamed("_below", "below")
     return g.agg((F.sum("pos") * F.sum("neg")).alias("n_pairs"), F.sum(c("pos") * c("below")).alias("wins"), F.sum(c("pos") * c("neg")).alias("ties"))
 
 
