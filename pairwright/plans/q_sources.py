@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+import zipfile
+from io import BytesIO
 
 from pyspark.sql import functions as F
 
@@ -45,6 +47,19 @@ def src6(spark, sf):
     return spark.createDataFrame([(n,) for n in io.csv_header(spark, p)], "name string")
 
 
+@query("SRC7_zip_member", "SELECT row_number() OVER (ORDER BY n_nationkey) AS line, n_nationkey::VARCHAR AS k, n_name AS v FROM nation")
+def src7(spark, sf):
+    """The member is read, another one beside it isn't."""
+    lines = io.bounded_rows(_nation(spark, sf).orderBy(c("k").cast("int")), 1000)
+    held = BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("other.csv", "k,v\n-1,none\n")
+        z.writestr("data/nation.csv", "\ufeffk,v\n" + "".join(f"{r['k']},{r['v']}\n" for r in lines))
+    p = _path(spark, "zip") + "/archive.zip"
+    io.write_bytes(spark, held.getvalue(), p)
+    return io.read_zip_csv(spark, p, "data/nation.csv").select("line", c("cells")["k"].alias("k"), c("cells")["v"].alias("v"))
+
+
 @query("SRC8_byte_order_mark", "SELECT n_nationkey::VARCHAR AS k, n_name AS v FROM nation")
 def src8(spark, sf):
     p = _path(spark, "bom")
@@ -110,6 +125,17 @@ def snk3(spark, sf):
     return spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SNK4_atomic_json", "SELECT count(*) AS n, max(n_name) AS last, 1::BIGINT AS files FROM nation")
+def snk4(spark, sf):
+    """The second record takes the first one's place; nothing else is left in the folder."""
+    folder = _path(spark, "json")
+    n, last = _nation(spark, sf).agg(F.count(F.lit(1)), F.max("v")).first()
+    io.write_json_atomic(spark, {"n": -1, "last": "a longer record that is to go" * 20}, f"{folder}/record.json")
+    io.write_json_atomic(spark, {"n": n, "last": last}, f"{folder}/record.json")
+    files = io.list_files(spark, folder).count()
+    return io.read_json(spark, f"{folder}/record.json", "n bigint, last string", lines=False).select("n", "last", F.lit(files).cast("bigint").alias("files"))
+
+
 @query("SNK5_refuses_overwrite", "SELECT true AS refused, count(*) AS n FROM nation")
 def snk5(spark, sf):
     """The refused rows are others than those there, which stay."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -147,13 +146,27 @@ def publish(df: DataFrame, path: str, validate) -> None:
             fs.delete(src, True)
 
 
-def write_json_atomic(record: dict, path: str) -> None:
-    """A small record on the driver: a temporary file takes the path's place."""
-    aside = f"{path}.{uuid.uuid4().hex}"
-    with open(aside, "w", encoding="utf-8") as f:
-        json.dump(record, f, indent=2, sort_keys=True)
-        f.write("\n")
-    os.replace(aside, path)
+def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """A small file, through Spark's own file system layer: written aside, then it takes the path's place in one move."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dst = jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    dst = fs.makeQualified(dst)
+    src = jvm.org.apache.hadoop.fs.Path(f"{dst.toString()}.{uuid.uuid4().hex}")
+    out = fs.create(src)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(dst.toUri(), conf).rename(src, dst, over)
+
+
+def write_json_atomic(spark: SparkSession, record: dict, path: str) -> None:
+    """A small record as one JSON file; readers see the old file or the new one."""
+    write_bytes(spark, (json.dumps(record, indent=2, sort_keys=True) + "\n").encode(), path)
 
 
 def checksums(spark: SparkSession, root: str) -> DataFrame:
@@ -161,11 +174,17 @@ def checksums(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.sha2("content", 256).alias("sha256"), "path")
 
 
-def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as Markdown; more rows than the limit are an error."""
+def bounded_rows(df: DataFrame, limit: int) -> list:
+    """All rows of a small result; more rows than the limit are an error."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows")
+    return rows
+
+
+def markdown_table(df: DataFrame, limit: int = 1000) -> str:
+    """A small result as Markdown; more rows than the limit are an error."""
+    rows = bounded_rows(df, limit)
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
