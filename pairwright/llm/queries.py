@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, fim, jaccard_join, langid, lm_score, mixing, quality, suffix_dedup, toxicity, winnow
+from . import chat, decontaminate, exact_dedup, fim, jaccard_join, langid, lm_score, mixing, quality, repair, suffix_dedup, toxicity, winnow
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_quality": quality.op10_quality,
+    "op11_repair": repair.op11_repair,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_fingerprints": winnow.op13_fingerprints,
 }
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_repair": repair.OP11_SQL,
     "op12_fill_in_middle": fim.OP12_SQL,
 }

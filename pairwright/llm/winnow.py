@@ -29,14 +29,8 @@ from .common import kept, numbered, text_of
 GRAM, WINDOW = 16, 16
 #: Windows of a piece of text; places within a piece take 10 bits.
 PIECE = 512
-#: Bytes of text of a range of rows, and ranges at most (some 30 bytes each): beyond it ranges grow, and sort on disk.
-RANGE_BYTES, MAX_RANGES = 4_000_000, 65_536
-
-MARKS = "array<struct<hash:bigint,pos:int>>"
-
-
-def none() -> Column:
-    return F.array().cast(MARKS)
+#: Bytes of text of a range of rows, and ranges at most (some 30 bytes each): beyond it ranges grow, and sort on disk. Ranges of a task.
+RANGE_BYTES, MAX_RANGES, TASK_RANGES = 1_000_000, 65_536, 4
 
 
 def let(value: Column, f) -> Column:
@@ -44,6 +38,14 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def marks(hashes: Column, positions: Column) -> Column:
+    return F.struct(hashes.alias("hashes"), positions.alias("positions"))
+
+
+def none() -> Column:
+    return marks(F.array().cast("array<bigint>"), F.array().cast("array<int>"))
+
+
 def _least_of_four(step: int):
     return lambda a: F.transform(a, lambda x, i: F.least(x, F.get(a, i + step), F.get(a, i + 2 * step), F.get(a, i + 3 * step)))
 
@@ -61,13 +63,12 @@ def _chosen(piece: Column, k: int, w: int) -> Column:
     return F.array_distinct(F.slice(least, 1, F.greatest(F.lit(1), F.length(piece) - (k + w - 2))))
 
 
-def _apart(marks: Column) -> Column:
-    """marks in the order of their positions, each position once."""
-    return let(marks, lambda a: F.filter(a, lambda x, i: (i == 0) | (x["pos"] != F.get(a, i - 1)["pos"])))
+def _place(chosen: Column) -> Column:
+    return 1023 - chosen.bitwiseAND(1023).cast("int")
 
 
 def marks_of(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """The fingerprint of a text: (hash, pos) of the chosen grams by position, from 0."""
+    """The fingerprint of a text: hashes and positions (from 0) of the chosen grams, by position."""
     size = 4
     while size < w:
         size *= 4
@@ -75,34 +76,60 @@ def marks_of(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
         raise ValueError("a window is 4, 16, 64 or 256 hashes")
     overlap = k + w - 2
     cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    pieces = let(cut, lambda c: F.transform(c, lambda x, i: F.struct(i.alias("i"), F.concat(x, *(F.left(F.coalesce(F.get(c, i + j), F.lit("")), F.lit(min(PIECE, overlap - (j - 1) * PIECE))) for j in range(1, 1 + -(-overlap // PIECE)))).alias("t"))))
+    after = lambda c, i: [F.left(F.coalesce(F.get(c, i + j), F.lit("")), F.lit(min(PIECE, overlap - (j - 1) * PIECE))) for j in range(1, 1 + -(-overlap // PIECE))]
+    pieces = let(cut, lambda c: F.transform(c, lambda x, i: F.concat(x, *after(c, i))))
     # what is left after the last whole window lies in the piece before
-    pieces = F.filter(pieces, lambda p: (p["i"] == 0) | (F.length(p["t"]) > overlap))
-    own = lambda p: F.transform(_chosen(p["t"], k, w), lambda v: F.struct(F.shiftright(v, 10).alias("hash"), (p["i"] * PIECE + 1023 - v.bitwiseAND(1023).cast("int")).alias("pos")))
-    return _apart(F.flatten(F.transform(pieces, own)))
+    pieces = F.filter(pieces, lambda p, i: (i == 0) | (F.length(p) > overlap))
+    chosen = F.transform(pieces, lambda p: _chosen(p, k, w))
+    # a piece may begin with the mark that the piece before it ends with
+    again = lambda c, i: _place(F.get(c, i - 1)[F.size(F.get(c, i - 1)) - 1]) == _place(F.get(c, i)[0]) + PIECE
+    apart = let(chosen, lambda c: F.transform(c, lambda x, i: F.when((i > 0) & again(c, i), F.slice(x, 2, F.size(x))).otherwise(x)))
+    hashes = lambda c: F.flatten(F.transform(c, lambda x: F.transform(x, lambda v: F.shiftright(v, 10))))
+    positions = lambda c: F.flatten(F.transform(c, lambda x, i: let(i * PIECE, lambda at: F.transform(x, lambda v: at + _place(v)))))
+    return let(apart, lambda c: marks(hashes(c), positions(c)))
+
+
+def first_windows(fp: Column, count: Column, w: int = WINDOW) -> Column:
+    """How many marks the first `count` windows choose, of a text of more than one window.
+
+    A mark is first chosen when it enters the window, if it beats the mark before it, else when that one leaves. So only marks
+    that begin in the w - 1 places from `count` on have to be looked at."""
+    h, p = fp["hashes"], fp["positions"]
+    since = lambda j: F.when(F.get(h, j) <= F.get(h, j - 1), F.get(p, j) - w + 1).otherwise(F.get(p, j - 1) + 1)
+    sure = F.size(F.filter(p, lambda x: x < count))
+    near = lambda n: F.when(n < F.size(p), F.sequence(n, F.least(n + w - 1, F.size(p) - 1))).otherwise(F.array().cast("array<int>"))
+    return let(sure, lambda n: n + F.size(F.filter(near(n), lambda j: (j == 0) | (since(j) < count))))
+
+
+def spliced(head: Column, head_marks: Column, tail: Column, tail_marks: Column, k: int = GRAM, w: int = WINDOW) -> Column:
+    """The marks of head + tail. head_marks and tail_marks are those of texts that begin with head and with tail."""
+    t = k + w - 1
 
+    def joined(x: Column) -> Column:
+        h, b, a, c = x["h"], x["b"], x["a"], x["c"]
+        long = h >= t
+        seam = F.when(long, F.concat(F.substring(head, -(t - 1), t - 1), F.left(tail, F.lit(t - 1)))).otherwise(F.concat(head, tail))
+        first = F.when(long, let(first_windows(a, h - t + 1, w), lambda n: marks(F.slice(a["hashes"], 1, n), F.slice(a["positions"], 1, n)))).otherwise(none())
+        before = F.greatest(F.lit(0), h - (t - 1))
+        middle = F.when(long & (b == 0), none()).otherwise(let(marks_of(seam, k, w), lambda m: marks(m["hashes"], F.transform(m["positions"], lambda p: p + before))))
+        last = F.when(long & (b >= t), let(first_windows(c, b - t + 1, w), lambda n: marks(F.slice(c["hashes"], 1, n), F.transform(F.slice(c["positions"], 1, n), lambda p: p + h)))).otherwise(none())
+        return let(F.struct(first.alias("first"), middle.alias("middle"), last.alias("last")), lambda y: _appended(_appended(y["first"], y["middle"]), y["last"]))
 
-def first_windows(hashes: Column, positions: Column, count: Column, w: int = WINDOW) -> Column:
-    """The marks that the first `count` windows choose, of a text of more than one window.
+    # what is counted or read here isn't counted or read again for each mark
+    return let(F.struct(F.length(head).alias("h"), F.length(tail).alias("b"), head_marks.alias("a"), tail_marks.alias("c")), joined)
 
-    An entry is first chosen when it enters the window, if it beats the entry before it, else when that one leaves."""
-    since = F.transform(positions, lambda p, j: F.when(j == 0, 0).when(F.get(hashes, j) <= F.get(hashes, j - 1), p - w + 1).otherwise(F.get(positions, j - 1) + 1))
-    n = F.size(F.filter(since, lambda s: s < count))
-    return F.zip_with(F.slice(hashes, 1, n), F.slice(positions, 1, n), lambda h, p: F.struct(h.alias("hash"), p.alias("pos")))
 
+def _appended(a: Column, b: Column) -> Column:
+    """Marks a, then b without its first one where a ends with it."""
 
-def spliced(head: Column, head_marks: tuple[Column, Column], tail: Column, tail_marks: tuple[Column, Column], k: int = GRAM, w: int = WINDOW) -> Column:
-    """The marks of head + tail. The pairs (hashes, positions) are of texts that begin with head and with tail."""
-    t = k + w - 1
-    h, b = F.length(head), F.length(tail)
-    long = h >= t
-    seam = F.when(long, F.concat(F.substring(head, -(t - 1), t - 1), F.left(tail, F.lit(t - 1)))).otherwise(F.concat(head, tail))
-    before = F.when(long, h - (t - 1)).otherwise(0)
-    shifted = lambda marks, by: F.transform(marks, lambda m: F.struct(m["hash"].alias("hash"), (m["pos"] + by).alias("pos")))
-    first = F.when(long, first_windows(*head_marks, h - t + 1, w)).otherwise(none())
-    middle = F.when(long & (b == 0), none()).otherwise(shifted(marks_of(seam, k, w), before))
-    last = F.when(long & (b >= t), shifted(first_windows(*tail_marks, b - t + 1, w), h)).otherwise(none())
-    return _apart(F.concat(first, middle, last))
+    def join(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        same = F.element_at(a["positions"], F.when(F.size(a["positions"]) > 0, F.lit(-1)).otherwise(None)) == F.get(b["positions"], F.lit(0))
+        start = F.when(same, 2).otherwise(1)
+        put = lambda c: F.concat(a[c], F.slice(b[c], start, F.size(b[c])))
+        return marks(put("hashes"), put("positions"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), join)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,21 +138,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
-def shared(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """(hash, pos_a, pos_b): the first places of each hash that two fingerprints (hashes, positions) share."""
-    at = lambda x, h: F.get(x[1], F.array_position(x[0], h).cast("int") - 1)
-    return F.transform(F.array_intersect(a[0], b[0]), lambda h: F.struct(h.alias("hash"), at(a, h).alias("pos_a"), at(b, h).alias("pos_b")))
+def shared(a: Column, b: Column) -> Column:
+    """(hash, pos_a, pos_b): the first places of each hash that two fingerprints share."""
+    at = lambda x, h: F.get(x["positions"], F.array_position(x["hashes"], h).cast("int") - 1)
+    return F.transform(F.array_intersect(a["hashes"], b["hashes"]), lambda h: F.struct(h.alias("hash"), at(a, h).alias("pos_a"), at(b, h).alias("pos_b")))
 
 
-def rendered(marks: Column) -> Column:
+def rendered(fp: Column) -> Column:
     """sha256 of all hashes and positions."""
-    return F.sha2(F.array_join(F.transform(marks, lambda m: F.concat_ws("@", F.hex(m["hash"]), m["pos"])), ",").cast("binary"), 256)
+    return F.sha2(F.concat_ws("@", fp["hashes"].cast("string"), fp["positions"].cast("string")).cast("binary"), 256)
 
 
 def fingerprints(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """doc_id, n_chars, hashes, positions of every row."""
-    rows = docs.select("doc_id", F.length(text_of()).cast("bigint").alias("n_chars"), marks_of(text_of(), k, w).alias("marks"))
-    return rows.select("doc_id", "n_chars", F.col("marks.hash").alias("hashes"), F.col("marks.pos").alias("positions"))
+    return docs.select("doc_id", F.length(text_of()).cast("bigint").alias("n_chars"), marks_of(text_of(), k, w).alias("fp")).select("doc_id", "n_chars", "fp.*")
 
 
 def ranged(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -154,13 +180,13 @@ def ranged(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def with_next(docs: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """doc_id, text, hashes, positions of every row, and next_text, next_hashes, next_positions of the next row, by descending id.
+    """doc_id, text, fp (hashes, positions) of every row, and next_text, next_fp of the next row, by descending id.
 
     Texts move once, to their range; fingerprints are made there, once for each row."""
-    rows = ranged(docs)[0].repartition("range")
-    rows = rows.withColumn("marks", marks_of(F.col("text"), k, w)).withColumn("hashes", F.col("marks.hash")).withColumn("positions", F.col("marks.pos")).drop("marks")
+    rows, number = ranged(docs)
+    rows = rows.repartition(-(-number // TASK_RANGES) or 1, "range").withColumn("fp", marks_of(F.col("text"), k, w))
     order = Window.partitionBy("range").orderBy("guest", "key")
-    rows = rows.select("doc_id", "guest", "text", "hashes", "positions", *(F.lead(c).over(order).alias(f"next_{c}") for c in ("text", "hashes", "positions")))
+    rows = rows.select("doc_id", "guest", "text", "fp", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp"))
     return rows.where(~F.col("guest")).drop("guest")
 
 
@@ -169,13 +195,11 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("head", F.left("text", n - half)).withColumn("tail", F.left("next_text", half))
-    own, following = (F.col("hashes"), F.col("positions")), (F.col("next_hashes"), F.col("next_positions"))
-    rows = rows.withColumn("edited", spliced(F.col("head"), own, F.col("tail"), following))
-    marks = F.zip_with(*own, lambda h, p: F.struct(h.alias("hash"), p.alias("pos")))
+    rows = rows.withColumn("edited", spliced(F.col("head"), F.col("fp"), F.col("tail"), F.col("next_fp")))
     return rows.select(
         "doc_id", n.cast("bigint").alias("n_chars"),
         F.sha2(F.concat("head", "tail").cast("binary"), 256).alias("edited_sha256"),
-        rendered(marks).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited.hash")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
-        F.size("hashes").cast("bigint").alias("n_chosen"), F.size("edited").cast("bigint").alias("edited_n_chosen"),
+        rendered(F.col("fp")).alias("fingerprint"), rendered(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("fp.hashes"), F.col("edited.hashes")).alias("near_edited"), likeness(F.col("fp.hashes"), F.col("next_fp.hashes")).alias("near_next"),
+        F.size("fp.hashes").cast("bigint").alias("n_chosen"), F.size("edited.hashes").cast("bigint").alias("edited_n_chosen"),
     )

@@ -31,7 +31,7 @@ def chosen(text, k=K, w=W):
 
 
 def digest(marks):
-    return hashlib.sha256(",".join(f"{h:X}@{p}" for h, p in marks).encode()).hexdigest()
+    return hashlib.sha256(f"{[h for h, _ in marks]}@{[p for _, p in marks]}".encode()).hexdigest()
 
 
 def likeness(a, b):
@@ -101,7 +101,7 @@ def test_shared_passages_are_found_where_they_are(spark):
     df = spark.createDataFrame(rows, "id int, x string, y string, at_x int, at_y int, n int")
     one = lambda c: winnow.marks_of(F.col(c))
     df = df.withColumn("mx", one("x")).withColumn("my", one("y"))
-    df = df.withColumn("s", winnow.shared((F.col("mx.hash"), F.col("mx.pos")), (F.col("my.hash"), F.col("my.pos"))))
+    df = df.withColumn("s", winnow.shared(F.col("mx"), F.col("my")))
     for r in df.collect():
         assert any(r.at_x <= s.pos_a <= r.at_x + r.n - K and s.pos_a - r.at_x == s.pos_b - r.at_y for s in r.s)
 
