@@ -11,18 +11,58 @@ from ..sources.shared import stored
 from .ranks import position
 
 
+#: A key with more than one HOT-th of all rows is looked up in a broadcast, which has HOT rows at most.
+HOT = 256
+
+
+def follow(rows: DataFrame, key: str, to: DataFrame) -> DataFrame:
+    """rows with `key` replaced by its root where to (node, root) has one. Rows of a key that very many share aren't gathered."""
+    to = to.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    often = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(1, rows.count() // HOT))
+    often = stored(often.join(to, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_root", "_key").alias("_hot")))
+    rows = rows.join(F.broadcast(often), F.col(key) == F.col("_key"), "left")
+    other = rows.where(F.col("_key").isNull()).join(to, F.col(key) == F.col("_node"), "left").withColumn("_hot", F.coalesce("_root", key)).drop("_node", "_root")
+    return rows.where(F.col("_key").isNotNull()).unionByName(other).withColumn(key, F.col("_hot")).drop("_key", "_hot")
+
+
+def give_way(edges: DataFrame, number: int) -> DataFrame:
+    """node, root of the nodes that give way in a round: each to its least neighbour, that one to its own, and so on.
+
+    The least is the smallest id, so a star is done in two rounds and a chain in the order of its ids in one; in each third
+    round it is the smallest hash, so half of the nodes give way, whatever the graph."""
+    salt = F.lit(number)
+    rank = lambda x: F.struct((F.xxhash64(x, salt) if number % 3 == 2 else F.lit(0).cast("bigint")).alias("h"), F.col(x).alias("id"))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min(rank("b")).alias("low")).where(F.col("low") < rank("a"))
+    to = stored(least.select(F.col("a").alias("node"), F.col("low.id").alias("root")))
+    # ways grow twice as long each time
+    while not to.join(to.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
+        to = stored(follow(to, "root", to))
+    return to
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (smallest node id): least labels travel along edges and labels of labels halve the way; each round is written down."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        new = label.join(near, label["node"] == near["a"]).select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        up = new.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = stored(new.join(up, "comp", "left").select("node", F.least("comp", F.coalesce("far", "comp")).alias("comp"), "old"))
-        label = new.select("node", "comp")
-        if new.where("comp <> old").isEmpty():
-            return label
+    """node, comp (smallest node id) of all ends of edges (a, b).
+
+    Contraction: in each round nodes give way to others and edges go between those that are left; an edge whose ends have
+    become one leaves, and so does a finished component. Then the rounds are followed back, the last first."""
+    first = stored(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left, rounds = first.where("a <> b"), []
+    while not left.isEmpty():
+        to = give_way(left, len(rounds))
+        rounds.append(to)
+        moved = follow(stored(follow(left, "a", to)), "b", to).where("a <> b")
+        left = stored(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if not rounds:
+        return stored(ends.withColumn("comp", F.col("node")))
+    whole = rounds[-1]
+    for to in rounds[-2::-1]:
+        whole = stored(follow(to, "root", whole).unionByName(whole))
+    roots = stored(ends.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # only hashed rounds lead to others than the smallest id
+    least = whole.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("comp")).where("comp <> root")
+    return stored(follow(roots, "root", least.select(F.col("root").alias("node"), F.col("comp").alias("root"))).select("node", F.col("root").alias("comp")))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -1,51 +1,161 @@
-"""Exact top-k neighbours by inner product."""
+"""Exact top-k neighbours by inner product.
+
+Vectors are dealt to cells by the nearest of a bounded number of centres, and cells are cut
+into blocks. Each block first looks for neighbours among its own vectors. What it finds bounds
+what a cell must offer: a vector within the angle t of a centre and no longer than r has an
+inner product of |q| * r * cos(angle(q, centre) - t) with q at most. Only cells that may
+beat the k-th best of one of the block's vectors are visited. Where vectors have no clusters
+all cells may, and the work grows with the square of the vectors, as an exact search must.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block; every pair of blocks is one matrix product.
-BLOCK = 1024
+from ..sources.shared import stored
+
+#: Vectors of a block; of a cell, on average; centres at most, which all tasks get.
+BLOCK, CELL, CENTRES = 1024, 512, 4096
+#: Visits of a block that one task takes; more are salted.
+VISITS = 64
+#: Similarities are rounded to 6 decimals: bounds that are lower by less are no bounds.
+SLACK = 2e-6
+
+_FOUND = pa.schema([("query", pa.int64()), ("candidate", pa.int64()), ("similarity", pa.float64()), ("cell", pa.int32()), ("part", pa.int32()), ("visit", pa.int32())])
+_FOUND_SQL = "query bigint, candidate bigint, similarity double, cell int, part int, visit int"
+
+
+def matrix(values: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x["id"] for x in values], np.int64), np.array([x["v"] for x in values], np.float64)
+
+
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths; a zero vector has no direction and stays zero."""
+    n = np.linalg.norm(x, axis=1)
+    return x / np.where(n > 0, n, 1)[:, None], n
 
 
-def _products(k: int):
-    schema = pa.schema([("query", pa.int64()), ("candidate", pa.int64()), ("similarity", pa.float64())])
+def nearest(q: np.ndarray, a: np.ndarray, c: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a, rows of b, similarity: each vector's k best others; ties go to the smaller id."""
+    s = np.round(a @ b.T, 6)
+    s[q[:, None] == c[None, :]] = -np.inf  # a vector is no neighbour of itself
+    order = np.lexsort((np.broadcast_to(c, s.shape), -s), axis=1)[:, :k]
+    rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
+    ok = np.isfinite(s[rows, cols])
+    return rows[ok], cols[ok], s[rows[ok], cols[ok]]
 
-    def matrix(column, i):
-        ids = np.array([x["id"] for x in column[i]], np.int64)
-        return ids, np.array([x["v"] for x in column[i]], np.float64)
+
+def dealt(centres: np.ndarray):
+    """mapInArrow function: id, v to id, v, cell (of the centre at the least angle), angle, length."""
+    directions = units(centres)[0]
+    schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("cell", pa.int32()), ("angle", pa.float64()), ("length", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("l").to_pylist(), batch.column("r").to_pylist()
-            for i in range(len(left)):
-                q, a = matrix(left, i)
-                c, b = matrix(right, i)
-                s = np.round(a @ b.T, 6)
-                s[q[:, None] == c[None, :]] = -np.inf  # a vector is no neighbour of itself
-                order = np.lexsort((np.broadcast_to(c, s.shape), -s), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(q)), order.shape[1])
-                cols = order.ravel()
-                ok = np.isfinite(s[rows, cols])
-                yield pa.RecordBatch.from_arrays([pa.array(q[rows][ok]), pa.array(c[cols][ok]), pa.array(s[rows, cols][ok])], schema=schema)
+            if batch.num_rows:
+                x, n = units(np.stack(batch.column("v").to_numpy(zero_copy_only=False)).astype(np.float64))
+                s = x @ directions.T
+                cell = s.argmax(1)
+                angle = np.arccos(np.clip(s[np.arange(len(x)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(n)], schema=schema)
 
     return run
 
 
-def knn(vectors: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """query, candidate, similarity (6 decimals), rank; ties go to the smaller candidate.
+def first_look(k: int, centres: np.ndarray, angle: np.ndarray, length: np.ndarray):
+    """mapInArrow function of blocks: the best within the block, and the cells that have to be visited."""
+    directions = units(centres)[0]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell, part = batch.column("cell")[i].as_py(), batch.column("part")[i].as_py()
+                q, a = matrix(batch.column("vs")[i].as_py())
+                rows, cols, s = nearest(q, a, q, a, k)
+                least = np.full(len(q), -np.inf)
+                full = np.bincount(rows, minlength=len(q)) >= k
+                np.minimum.at(worst := np.full(len(q), np.inf), rows, s)
+                least[full] = worst[full]
+                x, n = units(a)
+                apart = np.maximum(0, np.arccos(np.clip(x @ directions.T, -1, 1)) - angle - 1e-9)
+                bound = n[:, None] * length * np.maximum(0, np.cos(apart))
+                visit = np.flatnonzero((bound + SLACK >= least[:, None]).any(0) & (length >= 0)).astype(np.int32)
+                m, none = len(visit), pa.nulls(len(rows), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(q[cols]), pa.array(s), none, none, none], schema=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.array(np.full(m, cell, np.int32)), pa.array(np.full(m, part, np.int32)), pa.array(visit)], schema=_FOUND)
 
-    vectors: id, v. Vectors are packed into blocks; blocks, not rows, meet pairwise, and each
-    pair of blocks passes on only its k best candidates for each query.
-    """
+    return run
+
+
+def visited(k: int):
+    """mapInArrow function: pairs of blocks (l, r) to the best of r for each of l."""
+    schema = pa.schema(list(_FOUND)[:3])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, a = matrix(batch.column("l")[i].as_py())
+                c, b = matrix(batch.column("r")[i].as_py())
+                rows, cols, s = nearest(q, a, c, b, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(c[cols]), pa.array(s)], schema=schema)
+
+    return run
+
+
+def cells(spark: SparkSession, vectors: DataFrame, n: int, k: int) -> tuple[DataFrame, np.ndarray, dict]:
+    """The dealt vectors (stored), the centres, and (rows, largest angle, largest length) of each cell. Cells too small to bound anything go."""
+    number = int(min(CENTRES, max(1, n // CELL)))
+    centres = np.array([r[0] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(number).select(F.col("v").cast("array<double>")).collect()], np.float64)
+    kind = "id bigint, v array<double>, cell int, angle double, length double"
+    own = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    for last in (False, True):
+        out = stored(own.mapInArrow(dealt(centres), kind))
+        facts = {r.cell: (r.n, r.angle, r.length) for r in out.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.max("length").alias("length")).collect()}
+        small = [c for c in range(len(centres)) if facts.get(c, (0,))[0] < 2 * k]
+        if last or not small or len(small) == len(centres):
+            break
+        centres = np.delete(centres, small, 0)
+    return out, centres, facts
+
+
+def looked_at(vectors: DataFrame, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a search stores: blocks (cell, part, vs), what blocks find in themselves (query, candidate, similarity), and the
+    visits that are left (cell, part, visit): the cell whose blocks a block has to be multiplied with."""
+    spark = vectors.sparkSession
     n = vectors.count()
-    blocks = max(1, -(-n // block))
-    packed = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("vs"))
-    both = packed.select(F.col("vs").alias("l")).crossJoin(packed.select(F.col("vs").alias("r")))
-    best = both.mapInArrow(_products(k), "query bigint, candidate bigint, similarity double")
+    if not n:
+        none = spark.createDataFrame([], _FOUND_SQL)
+        return spark.createDataFrame([], "cell int, part int, vs array<struct<id:bigint,v:array<double>>>"), none.select("query", "candidate", "similarity"), none.select("cell", "part", "visit")
+    dealt_, centres, facts = cells(spark, vectors, n, k)
+    angle, length = (np.array([facts.get(c, (0, 0.0, -1.0))[j] for c in range(len(centres))]) for j in (1, 2))
+    parts = spark.createDataFrame([(c, -(-facts[c][0] // block)) for c in facts], "cell int, parts int")
+    cut = dealt_.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    blocks = stored(cut.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "v")).alias("vs")))
+    found = stored(blocks.mapInArrow(first_look(k, centres, angle, length), _FOUND_SQL))
+    single = parts.where("parts = 1").select(F.col("cell").alias("visit"))
+    visits = found.where("visit is not null").select("cell", "part", "visit")
+    # a cell of one block has met itself
+    visits = visits.where(F.col("cell") != F.col("visit")).unionByName(visits.where(F.col("cell") == F.col("visit")).join(F.broadcast(single), "visit", "left_anti"))
+    return blocks, found.where("visit is null").select("query", "candidate", "similarity"), visits
+
+
+def block_pairs(blocks: DataFrame, visits: DataFrame) -> DataFrame:
+    """l, r: the vectors of each two blocks of the visits. The blocks of a cell that very many visit are met in several tasks."""
+    often = stored(visits.groupBy("visit").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("salts")))
+    left = visits.join(often, "visit").withColumn("salt", F.pmod(F.xxhash64("cell", "part"), F.col("salts")).cast("int"))
+    left = left.join(blocks.withColumnRenamed("vs", "l"), ["cell", "part"]).select("cell", "part", "visit", "salt", "l")
+    right = blocks.select(F.col("cell").alias("visit"), F.col("part").alias("_part"), F.col("vs").alias("r")).join(often, "visit")
+    right = right.select("visit", "_part", "r", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["visit", "salt"]).where((F.col("cell") != F.col("visit")) | (F.col("part") != F.col("_part"))).select("l", "r")
+
+
+def knn(vectors: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
+    """query, candidate, similarity (6 decimals), rank; ties go to the smaller candidate. vectors: id, v."""
+    blocks, own, visits = looked_at(vectors, k, block)
+    best = own.unionByName(block_pairs(blocks, visits).mapInArrow(visited(k), "query bigint, candidate bigint, similarity double"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "candidate")
     return best.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 

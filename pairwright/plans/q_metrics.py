@@ -99,7 +99,18 @@ def mt10(spark, sf):
     return M.reliability_bins(T.outcomes(spark, sf), "p", "y", 20).select("bin", "n", r6(c("mean_p")).alias("mean_p"), r6(c("rate")).alias("rate"))
 
 
-@query("MT11_calibration_line")
+#: Newton steps in closed form from intercept 0 and slope 1.
+_LINE = """WITH RECURSIVE o AS (SELECT y, w, ln(q / (1 - q)) AS z FROM (SELECT *, greatest(1e-12, least(1 - 1e-12, p)) AS q FROM outcomes)),
+nt(i, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT i, a, b, sum(w * (y - q)) AS g0, sum(w * (y - q) * z) AS g1, sum(w * q * (1 - q)) AS h00, sum(w * q * (1 - q) * z) AS h01, sum(w * q * (1 - q) * z * z) AS h11
+        FROM (SELECT nt.*, o.*, 1 / (1 + exp(-(a + b * z))) AS q FROM nt, o WHERE i < 12) GROUP BY 1, 2, 3))
+SELECT round(a, 6) AS intercept, round(b, 6) AS slope FROM nt WHERE i = 12"""
+
+
+@query("MT11_calibration_line", _LINE, "outcomes")
 def mt11(spark, sf):
     from ..operators import models as D
 

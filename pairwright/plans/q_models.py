@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import keyed_hash as H
 from ..operators import audits as A
+from ..operators import fits as L
 from ..operators import metrics as M
 from ..operators import models as D
 from ..operators import ranks as R
@@ -128,6 +129,42 @@ def md13(spark, sf):
     return o.where("fold = 0").select("id", r6(E.platt(c("p"), a, b)).alias("p"))
 
 
+REPLICATES = 2000
+#: The draws of each replicate, then Newton steps of all replicates from 0 in closed form for two coefficients.
+_REPLICATES = f"""WITH RECURSIVE o AS (SELECT comp, y, w, ln(q / (1 - q)) AS z FROM (SELECT *, greatest(1e-12, least(1 - 1e-12, p)) AS q FROM outcomes WHERE fold <> 0)),
+u AS (SELECT comp, row_number() OVER (ORDER BY comp) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT comp FROM o)),
+k AS MATERIALIZED (SELECT r.r AS rep, x.comp, count(*) AS times FROM range({REPLICATES}) r(r), u s JOIN u x ON x.i = (('0x' || substr(sha256('md13|' || r.r::VARCHAR || '|' || s.i::VARCHAR), 1, 8))::BIGINT) % s.n GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT rep, z, y, w * times AS w FROM k JOIN o USING (comp)),
+f AS MATERIALIZED (SELECT rep, count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y = 1) AS ones FROM x GROUP BY 1),
+nt(rep, i, a, b) AS (
+  SELECT rep, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM f WHERE zeros > 0 AND ones > 0
+  UNION ALL
+  SELECT rep, i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT rep, i, a, b, sum(w * (y - q)) AS g0, sum(w * (y - q) * z) AS g1, sum(w * q * (1 - q)) AS h00, sum(w * q * (1 - q) * z) AS h01, sum(w * q * (1 - q) * z * z) AS h11
+        FROM (SELECT nt.*, x.z, x.y, x.w, 1 / (1 + exp(-(a + b * z))) AS q FROM nt JOIN x USING (rep) WHERE i < 12) GROUP BY 1, 2, 3, 4))
+"""
+
+
+def replicate_fits(spark, sf):
+    """Platt's line of each of REPLICATES draws of components."""
+    o = T.outcomes(spark, sf).where("fold <> 0").select("comp", "y", "w", E.logit(F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), c("p")))).alias("z"))
+    rows = o.join(L.component_draws(o, "comp", REPLICATES, "md13"), "comp").withColumn("draws", F.transform("draws", lambda d: F.struct(d["r"].alias("r"), (d["w"] * c("w")).alias("w"))))
+    return L.newton(rows, ["z"], "y", "draws", [0.0] * REPLICATES).summary(spark)
+
+
+@query("MD13_replicate_fits", _REPLICATES + "SELECT f.rep, zeros, ones, round(a, 6) AS intercept, round(b, 6) AS slope FROM f LEFT JOIN (SELECT * FROM nt WHERE i = 12) n USING (rep)", "outcomes")
+def md13_fits(spark, sf):
+    ok = c("converged")
+    return replicate_fits(spark, sf).where("total > 0").select(c("r").cast("bigint").alias("rep"), "zeros", "ones", F.when(ok, r6(c("intercept"))).alias("intercept"), F.when(ok, r6(c("slopes")[0])).alias("slope"))
+
+
+@query("MD13_bootstrap_interval", _REPLICATES + f"SELECT {REPLICATES} AS requested, count(*) AS completed, round(quantile_cont(a, 0.025), 6) AS intercept_low, round(quantile_cont(a, 0.975), 6) AS intercept_high, round(quantile_cont(b, 0.025), 6) AS slope_low, round(quantile_cont(b, 0.975), 6) AS slope_high FROM nt WHERE i = 12", "outcomes")
+def md13_interval(spark, sf):
+    f = replicate_fits(spark, sf).where("converged")
+    ends = [r6(F.percentile(x, F.lit(q))).alias(f"{name}_{end}") for name, x in (("intercept", c("intercept")), ("slope", c("slopes")[0])) for end, q in (("low", 0.025), ("high", 0.975))]
+    return f.agg(F.lit(REPLICATES).cast("bigint").alias("requested"), n_().alias("completed"), *ends)
+
+
 @query("MD14_synthetic_probabilities")
 def md14(spark, sf):
     x = T.outcomes(spark, sf).select("id", (1.2 * (c("p") - 0.5) + 0.4 * ((c("a") % 5) - 2)).alias("eta"))

@@ -36,8 +36,9 @@ def with_ctes(sql: str, *names: str) -> str:
     if not parts:
         return sql
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join(parts) + ",\n" + body[len(head) :]
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -14,11 +13,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names (spark.checkpoint.dir, or a checkpoint folder set before); the warehouse where none is named."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         now = sc._jsc.sc().getCheckpointDir()
-        found = now.get() if now.isDefined() else tempfile.mkdtemp(prefix="pairwright-")
+        # the warehouse is shared by all executors; a machine's own temporary folder isn't
+        found = now.get() if now.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
