@@ -32,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,58 +184,108 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return kept(both.select("a", "b", "text_a", "text_b").mapInArrow(linked_pairs(words, percent), "a bigint, b bigint"), "jaccard-links")
 
 
+def follow(rows: DataFrame, key: str, to: DataFrame) -> DataFrame:
+    """rows with `key` replaced by its root where to (node, root) has one. Rows of a key that very many share aren't gathered:
+    a key with more than a HOT-th of all rows is looked up in a broadcast, which has HOT rows at most."""
+    to = to.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    often = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(1, rows.count() // HOT))
+    often = kept(often.join(to, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_root", "_key").alias("_hot")), "component-hot")
+    rows = rows.join(F.broadcast(often), F.col(key) == F.col("_key"), "left")
+    other = rows.where(F.col("_key").isNull()).join(to, F.col(key) == F.col("_node"), "left").withColumn("_hot", F.coalesce("_root", key)).drop("_node", "_root")
+    return rows.where(F.col("_key").isNotNull()).unionByName(other).withColumn(key, F.col("_hot")).drop("_key", "_hot")
+
+
+def give_way(links: DataFrame, number: int) -> DataFrame:
+    """node, root of the rows that give way in a round: each to its least neighbour, that one to its own, and so on.
+
+    The least is the smallest number, so a star is done in two rounds; in each third round it is the smallest hash, so half of
+    the rows give way, whatever the links."""
+    salt = F.lit(number)
+    rank = lambda x: F.struct((F.xxhash64(x, salt) if number % 3 == 2 else F.lit(0).cast("bigint")).alias("h"), F.col(x).alias("id"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min(rank("b")).alias("low")).where(F.col("low") < rank("a"))
+    to = kept(least.select(F.col("a").alias("node"), F.col("low.id").alias("root")), "component-ways")
+    while not to.join(to.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
+        to = kept(follow(to, "root", to), "component-ways")
+    return to
+
+
 def components(links: DataFrame) -> DataFrame:
-    """rid, comp of all ends of links (a, b): smallest ids spread along links, and labels of labels shorten the way."""
-    both = kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    label = kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "rid"), "component-labels")
-    while True:
-        near = both.join(label, both["b"] == label["rid"]).groupBy("a").agg(F.min("comp").alias("near"))
-        new = label.join(near, label["rid"] == near["a"]).select("rid", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
-        up = new.select(F.col("rid").alias("comp"), F.col("comp").alias("far"))
-        new = kept(new.join(up, "comp", "left").select("rid", F.least("comp", F.coalesce("far", "comp")).alias("comp"), "old"), "component-labels")
-        label = new.select("rid", "comp")
-        if new.where("comp <> old").isEmpty():
-            return label
+    """rid, comp (smallest number) of all ends of links (a, b), by contraction: rows give way to others, and links go between
+    those that are left. A link whose ends have become one leaves, so no later round sees it."""
+    first = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "component-links")
+    left, rounds = first, []
+    while not left.isEmpty():
+        to = give_way(left, len(rounds))
+        rounds.append(to)
+        moved = follow(kept(follow(left, "a", to), "component-moved"), "b", to).where("a <> b")
+        left = kept(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "component-links")
+    if not rounds:
+        return first.select(F.col("a").alias("rid"), F.col("b").alias("comp"))
+    whole = rounds[-1]
+    for to in rounds[-2::-1]:
+        whole = kept(follow(to, "root", whole).unionByName(whole), "component-roots")
+    # only hashed rounds lead to others than the smallest number
+    least = whole.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("comp"))
+    out = follow(whole, "root", least.where("comp <> root").select(F.col("root").alias("node"), F.col("comp").alias("root"))).select(F.col("node").alias("rid"), F.col("root").alias("comp"))
+    return kept(out.unionByName(least.select(F.col("root").alias("rid"), "comp")), "component-labels")
+
+
+def joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """rid, comp of the components of known (rid, comp) and further links (a, b): only links between two of known's components
+    are looked at again, as links between these."""
+    labels = known.withColumnsRenamed({"rid": "node", "comp": "root"})
+    ends = follow(kept(follow(links.select("a", "b"), "a", labels), "component-ends"), "b", labels)
+    new = components(ends)
+    moved = follow(known, "comp", new.withColumnsRenamed({"rid": "node", "comp": "root"}))
+    return kept(moved.unionByName(new.join(known.select("rid"), "rid", "left_anti")), "component-labels")
 
 
 # ---------------------------------------------------------------- prefixes
 
 
+#: Counters of a part of the sketch; lanes whose parts are added first, so no task adds more than a 256th of the tasks' parts.
+PART, LANES = 4096, 256
+
+
 def sketch(words: int):
     """mapInArrow function: counts of hashed n-grams in COUNTERS counters, by parts."""
-    part = 4096
-    schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema([("lane", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, texts in blocks(batch):
                 _, h = shingle_sets(texts, words)
-                counts += np.bincount((h >> _U(46)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                counts += np.bincount((h >> _U(46)).astype(np.int64), minlength=COUNTERS)
         press = zstandard.ZstdCompressor(level=1)
         if counts.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(COUNTERS // part, dtype=np.int32)), pa.array([press.compress(counts[i : i + part].tobytes()) for i in range(0, COUNTERS, part)], pa.binary())], schema=schema
-            )
+            n = COUNTERS // PART
+            lane = TaskContext.get().partitionId() % LANES
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, lane, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array([press.compress(counts[i : i + PART].tobytes()) for i in range(0, COUNTERS, PART)], pa.binary())], schema=schema)
 
     return run
 
 
 def add_sketches(table: pa.Table) -> pa.Table:
-    expand = zstandard.ZstdDecompressor()
-    total = sum(np.frombuffer(expand.decompress(b), np.uint32).astype(np.int64) for b in table.column("blob").to_pylist())
-    return pa.Table.from_arrays([table.column("part").slice(0, 1).combine_chunks(), pa.array([total.tobytes()], pa.binary())], names=["part", "blob"])
+    expand, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+    total = np.zeros(PART, np.int64)
+    for blob in table.column("blob"):
+        total += np.frombuffer(expand.decompress(blob.as_py()), np.int64)
+    return pa.Table.from_arrays([table.column("part").slice(0, 1).combine_chunks(), pa.array([press.compress(total.tobytes())], pa.binary())], names=["part", "blob"])
 
 
 def heavy_counters(texts: DataFrame, words: int) -> np.ndarray:
     """Load of each counter that stands out from the others, else 0."""
-    parts = texts.select("text").mapInArrow(sketch(words), "part int, blob binary").groupBy("part").applyInArrow(add_sketches, "part int, blob binary").toArrow()
-    loads = np.zeros((COUNTERS // 4096, 4096), np.int64)
+    parts = texts.select("text").mapInArrow(sketch(words), "lane int, part int, blob binary")
+    parts = parts.groupBy("lane", "part").applyInArrow(add_sketches, "part int, blob binary").groupBy("part").applyInArrow(add_sketches, "part int, blob binary").toArrow()
+    loads = np.zeros((COUNTERS // PART, PART), np.int64)
+    expand = zstandard.ZstdDecompressor()
     for p, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist()):
-        loads[p] = np.frombuffer(b, np.int64)
+        loads[p] = np.frombuffer(expand.decompress(b), np.int64)
     loads = loads.ravel()
     usual = float(np.median(loads))
-    return np.where(loads > usual + 6 * np.sqrt(usual + 1) + 8, loads, 0).astype(np.uint32)
+    return np.minimum(np.where(loads > usual + 6 * np.sqrt(usual + 1) + 8, loads, 0), np.iinfo(np.uint32).max).astype(np.uint32)
 
 
 _PREFIX = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -548,10 +599,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # the best candidates of each document join large groups of near copies; all that is left between components follows
     found = candidates(groups, comp, BEST)
-    links = kept(links.unionByName(verified(found.where("a is not null"), texts, words, percent)), "jaccard-links")
+    comp = joined(comp, verified(found.where("a is not null"), texts, words, percent))
     rest = groups.join(found.where("gid is not null").select("gid"), "gid", "left_semi")
-    more = verified(candidates(rest, components(links), None), texts, words, percent)
-    whole = components(links.unionByName(more))
+    whole = joined(comp, verified(candidates(rest, comp, None), texts, words, percent))
 
     # back to the documents
     full = sets.join(whole.withColumnRenamed("rid", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
