@@ -14,7 +14,8 @@ scored on its whole text.
 Defined results: null and empty texts have zero text features; a null source or language is
 a value of its own; label rows without label or document are not used, several label rows of
 an id all count; with labels of fewer than two kinds every score is the share of ones among
-them (0.5 without any). Repeated rows are scored alike, and of rows with equal scores, as copies
+them (0.5 without any); where the rows kept aside, or the others, have labels of one kind only, all
+rows are fitted and calibrate. Repeated rows are scored alike, and of rows with equal scores, as copies
 have, one at most joins a round's training rows, that of the smallest number. Empty tables give no rows.
 Of the carried columns one named score is replaced; others are not looked at.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Block, blocks, held_out, kept, mix, numbered, prefix_hash, range_hash, stored
-from .toxicity import labelled_sample
+from .toxicity import picked
 
 TRAIN_ROWS = 5000
 #: Documents that each view names in each round.
@@ -75,14 +76,12 @@ def features(texts: list[bytes], tags: list[tuple]) -> tuple[np.ndarray, np.ndar
     first = np.ones(len(order), bool)
     first[1:] = (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     kinds = np.bincount(doc[order][first], minlength=n)
-    pair = np.ones(len(order), bool)
-    two = mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if len(hashes) > 1 else hashes[:0]
-    o2 = np.lexsort((two, doc[:-1])) if len(two) else np.zeros(0, np.int64)
+    inside = doc[1:] == doc[:-1]  # a pair of words lies in one text
+    two, doc2 = mix(hashes[:-1] * np.uint64(3) + hashes[1:])[inside], doc[:-1][inside]
+    o2 = np.lexsort((two, doc2))
     f2 = np.ones(len(o2), bool)
-    if len(o2) > 1:
-        f2[1:] = (two[o2][1:] != two[o2][:-1]) | (doc[:-1][o2][1:] != doc[:-1][o2][:-1])
-    kinds2 = np.bincount(doc[:-1][o2][f2], minlength=n) if len(o2) else np.zeros(n)
-    del pair
+    f2[1:] = (two[o2][1:] != two[o2][:-1]) | (doc2[o2][1:] != doc2[o2][:-1])
+    kinds2 = np.bincount(doc2[o2][f2], minlength=n)
     letters = np.bincount(doc, weights=end - start, minlength=n)
     text[:, width] = kinds / per[:, 0]
     text[:, width + 1] = kinds2 / per[:, 0]
@@ -123,7 +122,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int =
 
 def logit(model, x: np.ndarray) -> np.ndarray:
     mean, scale, w, b = model
-    return ((x - mean) / scale) @ w + b
+    # summed row by row: a matrix product may round a row otherwise in another batch, and copies have one score
+    return (((x - mean) / scale) * w).sum(1) + b
 
 
 def joined(parts) -> tuple:
@@ -200,15 +200,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     """docs: doc_id, text, lang, source. What comes to the driver: features of `rows` labelled rows and of 2 * sure documents a round."""
     spark = docs.sparkSession
     docs = stored(docs.select("doc_id", "text", "lang", "source"))
-    sample = labelled_sample(docs, labels, label, rows, ("text", "lang", "source"))
-    views, y = _gathered(sample.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows))
+    own = picked(labels, label, rows)
+    views, y = _gathered(docs.join(F.broadcast(own), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows))
     n = len(y)
-    aside = mix(np.arange(n, dtype=np.uint64)) % np.uint64(10) < 3
     base = float(y.mean()) if n else 0.5
-    if n < 20 or len(set(y[~aside].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return None, None, base
-    parts = [[(v[~aside], y[~aside].astype(np.float64))] for v in views]
-    used = labels.where(F.col(label).isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").select(F.col("doc_id").alias("_id")).limit(rows)
+    aside = mix(np.arange(n, dtype=np.uint64)) % np.uint64(10) < 3
+    fitted = ~aside
+    if len(set(y[fitted].tolist())) < 2 or len(set(y[aside].tolist())) < 2:
+        aside = fitted = np.ones(n, bool)
+    parts = [[(v[fitted], y[fitted].astype(np.float64))] for v in views]
+    used = own.select(F.col("doc_id").alias("_id")).distinct()
     free = numbered(docs, "doc_id", "text", "lang", "source").join(F.broadcast(used), F.col("doc_id") == F.col("_id"), "left_anti")
     taken: list[tuple[int, int]] = []
     for r in range(rounds + 1):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, blocks, held_out, prefix_hash, range_hash
+from .common import ASCII_LOWER, blocks, held_out, kept, prefix_hash, range_hash
 
 #: Labelled documents that are fitted at most.
 TRAIN_ROWS = 20_000
@@ -153,11 +153,15 @@ def train(sentence: np.ndarray, mark: np.ndarray, doc_of: np.ndarray, y: np.ndar
     return theta[:kinds], float(theta[kinds]), float(f0), float(f1)
 
 
+def picked(labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """doc_id, _y of at most `rows` label rows, those whose ids have the smallest hashes; stored once."""
+    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    return kept(own.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows), "labels-picked")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, carry: tuple[str, ...] = ("text",)) -> DataFrame:
-    """At most `rows` label rows, those whose ids have the smallest hashes, with their documents. Needs doc_id in both."""
-    picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(rows)
-    return docs.select("doc_id", *[c for c in carry if c != "doc_id"]).join(F.broadcast(picked), "doc_id")
+    """The picked() label rows with their documents, stored once. Needs doc_id in both."""
+    return kept(docs.select("doc_id", *[c for c in carry if c != "doc_id"]).join(F.broadcast(picked(labels, label, rows)), "doc_id"), "labels-documents")
 
 
 def mark_counts(batches):
@@ -184,11 +188,12 @@ def screened(rows: DataFrame, total: int, ones: int) -> np.ndarray:
     """Sorted marks that are associated with label 1."""
     p = ones / total
     counts = rows.select("text", "_y").mapInArrow(mark_counts, "h bigint, n bigint, ones bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    counts = kept(counts.where("ones > 1"), "toxicity-marks")
     a, b = F.col("ones"), F.col("n") - F.col("ones")
     c, d = F.lit(ones) - a, F.lit(total - ones) - b
     part = lambda x, among, of: F.when(x > 0, x * F.log(x * F.lit(float(total)) / (among * F.lit(float(of))))).otherwise(0.0)
     ratio = 2 * (part(a, F.col("n"), ones) + part(b, F.col("n"), total - ones) + part(c, F.lit(total) - F.col("n"), ones) + part(d, F.lit(total) - F.col("n"), total - ones))
-    counts = counts.where(a > 1).withColumn("g", ratio)
+    counts = counts.withColumn("g", ratio)
     kinds = max(counts.count(), 1)
     # a chi-square of one degree passes x with a probability of about exp(-x / 2)
     least = 2 * float(np.log(kinds / BY_CHANCE))
