@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import evidence as E
 from ..functions import keyed_hash as H
 from ..operators import audits as A
+from ..operators import boosting as G
 from ..operators import fits as L
 from ..operators import metrics as M
 from ..operators import models as D
@@ -117,6 +118,28 @@ def md9(spark, sf):
     return m.transform(o).select("id", r6(vector_to_array("probability")[1]).alias("p"))
 
 
+def _train(spark, sf):
+    return T.outcomes(spark, sf).where("fold <> 0").select("id", *FEATURES, "y", "w")
+
+
+@query("MD9_monotone_ranker")
+def md9_monotone(spark, sf):
+    """Boosted trees whose predictions never fall along either score."""
+    m = G.monotone_trees(_train(spark, sf), FEATURES, "y", "w", {"p": 1, "p2": 1}, trees=10)
+    return m.scored(T.outcomes(spark, sf).select("id", "fold", *FEATURES), "s").select("id", "fold", r6(c("s")).alias("p"))
+
+
+@query("MD10_shape_functions")
+def md10_shapes(spark, sf):
+    return G.additive(_train(spark, sf), FEATURES, "y", "w", cycles=10).shapes(spark).select("feature", "bin", "over", r6(c("value")).alias("value"))
+
+
+@query("MD10_additive_scores")
+def md10_scores(spark, sf):
+    m = G.additive(_train(spark, sf), FEATURES, "y", "w", cycles=10)
+    return m.scored(T.outcomes(spark, sf).select("id", "fold", *FEATURES), "s").select("id", "fold", r6(c("s")).alias("p"))
+
+
 @query("MD11_firth_logistic")
 def md11(spark, sf):
     return oof(spark, sf, {"firth": ("firth", 0.0)}).select("id", r6(c("p")).alias("p"))
