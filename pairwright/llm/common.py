@@ -6,6 +6,7 @@ import re
 import sys
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -250,6 +251,23 @@ class Block:
         return range_hash(prefix_hash(self.raw), self.word_start, self.word_end)
 
 
+#: Rows of an Arrow batch of whole texts, where Spark's own setting isn't smaller.
+BATCH_ROWS = 2000
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """While texts go to workers: batches of BATCH_ROWS rows, so that neither side holds tens of MB of one. The results don't depend
+    on it; another query that starts in this session meanwhile gets such batches too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def values(column, step: int = 256):
     """The values of an Arrow column, of which few are Python objects at a time."""
     for i in range(0, len(column), step):

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MAX_BROADCAST_IDS, Block, blocks, kept, mix, numbered, stored, values, without
+from .common import MAX_BROADCAST_IDS, Block, blocks, kept, mix, numbered, small_batches, stored, values, without
 
 WORDS = 5
 #: The threshold as a share of 100.
@@ -47,6 +47,8 @@ STARS = 4
 BEST = 8
 #: A star with more than one HOT-th of all sets is handled apart.
 HOT = 256
+#: Rows that one task takes whatever their keys.
+FEW = 10_000
 #: Counters of the sketch that finds frequent n-grams (a fixed size).
 COUNTERS = 1 << 18
 #: Bytes of text for each bucket of prefixes.
@@ -188,7 +190,9 @@ def follow(rows: DataFrame, key: str, to: DataFrame) -> DataFrame:
     """rows with `key` replaced by its root where to (node, root) has one. Rows of a key that very many share aren't gathered:
     a key with more than a HOT-th of all rows is looked up in a broadcast, which has HOT rows at most."""
     to = to.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    often = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max(1, rows.count() // HOT))
+    if (number := rows.count()) <= FEW:  # no key has many rows
+        return rows.join(to, F.col(key) == F.col("_node"), "left").withColumn(key, F.coalesce("_root", key)).drop("_node", "_root")
+    often = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > number // HOT)
     often = kept(often.join(to, F.col("_key") == F.col("_node"), "left").select("_key", F.coalesce("_root", "_key").alias("_hot")), "component-hot")
     rows = rows.join(F.broadcast(often), F.col(key) == F.col("_key"), "left")
     other = rows.where(F.col("_key").isNull()).join(to, F.col(key) == F.col("_node"), "left").withColumn("_hot", F.coalesce("_root", key)).drop("_node", "_root")
@@ -326,7 +330,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
                 held.append((h[order][first], t[order][first] + shift, rid[a:b], comp[a:b], n))
                 shift += b - a
                 size += int(first.sum())
-                if size > 700_000:
+                if size > 500_000:
                     yield emit(press, held)
                     held, size, shift = [], 0, 0
         if held:
@@ -559,6 +563,11 @@ def tree_join(percent: int, best: int | None = None):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, stars: int = STARS) -> DataFrame:
     """rid, doc_id, n, comp, component_id of every document. docs: doc_id, text; rid is the row's number as numbered() gives it."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, stars)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, stars: int) -> DataFrame:
     spark = docs.sparkSession
     texts = numbered(docs, F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = kept(texts.mapInArrow(facts(words), FACTS), "jaccard-facts")
