@@ -164,7 +164,7 @@ nt(rep, i, a, b) AS (
   UNION ALL
   SELECT rep, i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
   FROM (SELECT rep, i, a, b, sum(w * (y - q)) AS g0, sum(w * (y - q) * z) AS g1, sum(w * q * (1 - q)) AS h00, sum(w * q * (1 - q) * z) AS h01, sum(w * q * (1 - q) * z * z) AS h11
-        FROM (SELECT nt.*, x.z, x.y, x.w, 1 / (1 + exp(-(a + b * z))) AS q FROM nt JOIN x USING (rep) WHERE i < 12) GROUP BY 1, 2, 3, 4))
+        FROM (SELECT nt.*, x.z, x.y, x.w, 1 / (1 + exp(-(a + b * z))) AS q FROM nt JOIN x USING (rep) WHERE i < 25) GROUP BY 1, 2, 3, 4))
 """
 
 
@@ -175,13 +175,13 @@ def replicate_fits(spark, sf):
     return L.newton(rows, ["z"], "y", "draws", [0.0] * REPLICATES).summary(spark)
 
 
-@query("MD13_replicate_fits", _REPLICATES + "SELECT f.rep, zeros, ones, round(a, 6) AS intercept, round(b, 6) AS slope FROM f LEFT JOIN (SELECT * FROM nt WHERE i = 12) n USING (rep)", "outcomes")
+@query("MD13_replicate_fits", _REPLICATES + "SELECT f.rep, zeros, ones, round(a, 6) AS intercept, round(b, 6) AS slope FROM f LEFT JOIN (SELECT * FROM nt WHERE i = 25) n USING (rep)", "outcomes")
 def md13_fits(spark, sf):
     ok = c("converged")
     return replicate_fits(spark, sf).where("total > 0").select(c("r").cast("bigint").alias("rep"), "zeros", "ones", F.when(ok, r6(c("intercept"))).alias("intercept"), F.when(ok, r6(c("slopes")[0])).alias("slope"))
 
 
-@query("MD13_bootstrap_interval", _REPLICATES + f"SELECT {REPLICATES} AS requested, count(*) AS completed, round(quantile_cont(a, 0.025), 6) AS intercept_low, round(quantile_cont(a, 0.975), 6) AS intercept_high, round(quantile_cont(b, 0.025), 6) AS slope_low, round(quantile_cont(b, 0.975), 6) AS slope_high FROM nt WHERE i = 12", "outcomes")
+@query("MD13_bootstrap_interval", _REPLICATES + f"SELECT {REPLICATES} AS requested, count(*) AS completed, round(quantile_cont(a, 0.025), 6) AS intercept_low, round(quantile_cont(a, 0.975), 6) AS intercept_high, round(quantile_cont(b, 0.025), 6) AS slope_low, round(quantile_cont(b, 0.975), 6) AS slope_high FROM nt WHERE i = 25", "outcomes")
 def md13_interval(spark, sf):
     f = replicate_fits(spark, sf).where("converged")
     ends = [r6(F.percentile(x, F.lit(q))).alias(f"{name}_{end}") for name, x in (("intercept", c("intercept")), ("slope", c("slopes")[0])) for end, q in (("low", 0.025), ("high", 0.975))]
