@@ -9,6 +9,7 @@ from ..functions import evidence as E
 from ..functions import keyed_hash as H
 from ..operators import joins as J
 from ..operators import knn, ranks
+from ..operators import pairs as P
 from ..operators import sets as S
 from . import tables as T
 from .q_scalar import policies, scored
@@ -181,6 +182,23 @@ def jn24(spark, sf):
     return p.orderBy(H.hash_order("neg", c("a"), c("b")), "a", "b").limit(50).select("a", "b")
 
 
+#: Numbers of pairs with different identities by blocks of identities, draws of 40 of each site, places by number.
+_SAMPLED = """WITH b AS (SELECT site, identity, count(*) AS size FROM images WHERE identity IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, coalesce(sum(size) OVER w, 0)::BIGINT AS before FROM b WINDOW w AS (PARTITION BY site ORDER BY identity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, coalesce(sum(size * before) OVER w, 0)::BIGINT AS first, (sum(size * before) OVER (PARTITION BY site))::BIGINT AS pairs FROM c WINDOW w AS (PARTITION BY site ORDER BY identity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT site, pairs, x.t, sha256('neg|' || site || '|' || x.t::VARCHAR) AS h FROM (SELECT DISTINCT site, pairs FROM d), range(640) x(t) WHERE x.t < CASE WHEN pairs < 160 THEN pairs ELSE 640 END),
+m AS (SELECT site, CASE WHEN pairs < 160 THEN t ELSE ('0x' || substr(h, 1, 15))::BIGINT % pairs END AS m, min(CASE WHEN pairs < 160 THEN h ELSE lpad(t::VARCHAR, 20, '0') END) AS rank FROM t GROUP BY 1, 2),
+k AS (SELECT site, m FROM m QUALIFY row_number() OVER (PARTITION BY site ORDER BY rank, m) <= 40),
+p AS (SELECT k.site, (m - first) % before AS i, before + (m - first) // before AS j FROM k JOIN d ON k.site = d.site AND m >= first AND m < first + size * before),
+r AS (SELECT site, image_id, row_number() OVER (PARTITION BY site ORDER BY identity, image_id) - 1 AS place FROM images WHERE identity IS NOT NULL)
+SELECT p.site, least(x.image_id, y.image_id) AS a, greatest(x.image_id, y.image_id) AS b FROM p JOIN r x ON x.site = p.site AND x.place = i JOIN r y ON y.site = p.site AND y.place = j"""
+
+
+@query("JN24_sampled_pairs", _SAMPLED, "images")
+def jn24_sampled(spark, sf):
+    return P.sampled_pairs(T.images(spark, sf).select("site", "image_id", "identity"), "site", "image_id", "identity", 40, "neg")
+
+
 @query("JN25_coverage_check", "SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS missing, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unexpected")
 def jn25(spark, sf):
     return J.coverage(t(spark, sf, "labels"), t(spark, sf, "documents"), ["doc_id"])
