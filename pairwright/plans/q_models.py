@@ -460,6 +460,25 @@ def str3(spark, sf):
     return V.completeness(_log(spark, sf), "packet", "reviewer", 2)
 
 
+#: Rounds one after another; those whose time isn't over two hours before the last response are given only if complete.
+_ROUNDS = """WITH RECURSIVE r AS MATERIALIZED (SELECT packet, reviewer, epoch_us(ts) AS moment FROM reviews WHERE packet IS NOT NULL AND reviewer IS NOT NULL AND ts IS NOT NULL),
+rounds(packet, opened) AS (
+  SELECT packet, min(moment) FROM r GROUP BY 1
+  UNION ALL
+  SELECT o.packet, min(r.moment) FROM rounds o JOIN r ON r.packet = o.packet AND r.moment > o.opened + 432000000000 GROUP BY o.packet),
+f AS (SELECT packet, opened, reviewer, min(moment) AS moment FROM rounds JOIN r USING (packet) WHERE moment BETWEEN opened AND opened + 432000000000 GROUP BY 1, 2, 3),
+k AS (SELECT packet, opened, count(*) AS n, (list_sort(list(moment)))[2] AS second FROM f GROUP BY 1, 2)
+SELECT packet, make_timestamp(opened) AS opened, least(n, 2) AS n, CASE WHEN n >= 2 THEN 'complete' ELSE 'timed_out' END AS status, make_timestamp(CASE WHEN n >= 2 THEN second ELSE opened + 432000000000 END) AS closed
+FROM k WHERE n >= 2 OR opened + 432000000000 < (SELECT max(moment) FROM r) - 7200000000"""
+
+
+@query("STR3_double_review_rounds", _ROUNDS, "reviews")
+def str3_rounds(spark, sf):
+    p = _path(spark, "rounds")
+    T.reviews(spark, sf).select("packet", "reviewer", "ts").repartitionByRange(4, "ts").write.parquet(p)
+    return V.double_reviews(V.log_stream(spark, p, 100), "packet", "reviewer", "ts", 2, 5 * 86400, "2 hours")
+
+
 @query("STR4_reviewer_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY reviewer ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM reviews WHERE ts IS NOT NULL), s AS (SELECT *, sum(opens) OVER (PARTITION BY reviewer ORDER BY ts, event_id) AS k FROM g)
 SELECT reviewer, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS responses FROM s GROUP BY reviewer, k""", "reviews")
 def str4(spark, sf):
