@@ -51,6 +51,8 @@ HOT = 256
 FEW = 10_000
 #: Counters of the sketch that finds frequent n-grams (a fixed size).
 COUNTERS = 1 << 18
+#: What a worker takes at a time: bytes of texts; prefix n-grams (16 bytes each) before they are packed.
+PIECE_BYTES, HELD = 500_000, 250_000
 #: Bytes of text for each bucket of prefixes.
 BUCKET_BYTES = 8_000_000
 LEAF = 8
@@ -109,7 +111,7 @@ def facts(words: int):
     def run(batches):
         for batch in batches:
             rid, ids = batch.column("rid"), batch.column("doc_id")
-            for a, b, texts in blocks(batch, 1_000_000):
+            for a, b, texts in blocks(batch, PIECE_BYTES):
                 t, h = shingle_sets(texts, words)
                 n = np.bincount(t, minlength=len(texts))
                 first = np.cumsum(n) - n
@@ -157,7 +159,7 @@ def linked_pairs(words: int, percent: int):
 
             for x, y in zip(values(batch.column("text_a"), 64), values(batch.column("text_b"), 64)):
                 x, y = x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")
-                if left and size + len(x) + len(y) > 1_000_000:
+                if left and size + len(x) + len(y) > PIECE_BYTES:
                     keep.append(settle(left, right))
                     left, right, size = [], [], 0
                 left.append(x)
@@ -259,7 +261,7 @@ def sketch(words: int):
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, _, texts in blocks(batch):
+            for _, _, texts in blocks(batch, PIECE_BYTES):
                 _, h = shingle_sets(texts, words)
                 counts += np.bincount((h >> _U(46)).astype(np.int64), minlength=COUNTERS)
         press = zstandard.ZstdCompressor(level=1)
@@ -321,7 +323,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
         held, size, shift = [], 0, 0
         for batch in batches:
             rid, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("rid", "comp"))
-            for a, b, texts in blocks(batch, 1_000_000):
+            for a, b, texts in blocks(batch, PIECE_BYTES):
                 t, h = shingle_sets(texts, words)
                 n = np.bincount(t, minlength=len(texts))
                 order = np.lexsort((h, load[(h >> _U(46)).astype(np.int64)], t))
@@ -330,7 +332,7 @@ def prefixes(words: int, percent: int, buckets: int, heavy):
                 held.append((h[order][first], t[order][first] + shift, rid[a:b], comp[a:b], n))
                 shift += b - a
                 size += int(first.sum())
-                if size > 500_000:
+                if size > HELD:
                     yield emit(press, held)
                     held, size, shift = [], 0, 0
         if held:
