@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing
-from pairwright.llm.common import stored_alone
+from pairwright.llm.common import remove, stored_alone
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages leave of documents. Tables that a stage writes on the way are deleted when its result is stored."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the stages leave of documents. A stage's table, and those written on its way, are deleted when the next one's result is stored."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stored_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if written:
+            remove(spark, written)
+        written = next((f.rpartition("/")[0] for f in docs.inputFiles()), None)
     return docs
