@@ -5,7 +5,7 @@ import sys
 
 import pytest
 
-from pairwright.llm import common, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, suffix_dedup
+from pairwright.llm import common, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, suffix_dedup, winnow
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +28,7 @@ def unsteady(spark, monkeypatch):
         spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + 5 * (next(number) % 3)))
         return out
 
-    for module in (common, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, suffix_dedup):
+    for module in (common, decontaminate, exact_dedup, jaccard_join, lm_score, mixing, suffix_dedup, winnow):
         monkeypatch.setattr(module, "kept", changing)
     yield
     spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
@@ -41,6 +41,7 @@ RUNS = {
     "op6": lambda d: jaccard_join.near_duplicates(d).select("doc_id", "n", "component_id"),
     "op6 pipeline": lambda d: jaccard_join.one_of_each(d).select("doc_id"),
     "op7 pipeline": lambda d: mixing.mixed(d).select("doc_id", "mix_size", "mix_copies"),
+    "op13": lambda d: winnow.with_next(d).select("doc_id", "next_text", "fp"),
     "op9 pipeline": lambda d: decontaminate.clean(d, d.sparkSession.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id"),
 }
 
@@ -75,7 +76,7 @@ def importable(batches):
         pass
 assert spark.range(1).mapInArrow(importable, "id long").count() == 0, "workers can import it"
 from pairwright.llm.queries import QUERIES
-for name in ("op2_lm_score", "op3_suffix_dedup", "op4_chat_format", "op5_langid", "op6_jaccard_join", "op8_toxicity", "op10_quality"):
+for name in ("op2_lm_score", "op3_suffix_dedup", "op4_chat_format", "op5_langid", "op6_jaccard_join", "op8_toxicity", "op10_quality", "op11_repair"):
     assert QUERIES[name](spark, {SF!r}).count() > 0
 """
     (tmp_path / "run.py").write_text(code)
