@@ -90,6 +90,20 @@ def first_look(k: int, centres: np.ndarray, angle: np.ndarray, length: np.ndarra
     return run
 
 
+def single_look(k: int):
+    """mapInArrow function of a block that holds all vectors."""
+    schema = pa.schema(list(_FOUND)[:3])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q, a = matrix(batch.column("vs")[i].as_py())
+                rows, cols, s = nearest(q, a, q, a, k)
+                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(q[cols]), pa.array(s)], schema=schema)
+
+    return run
+
+
 def visited(k: int):
     """mapInArrow function: pairs of blocks (l, r) to the best of r for each of l."""
     schema = pa.schema(list(_FOUND)[:3])
@@ -154,8 +168,13 @@ def block_pairs(blocks: DataFrame, visits: DataFrame) -> DataFrame:
 
 def knn(vectors: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
     """query, candidate, similarity (6 decimals), rank; ties go to the smaller candidate. vectors: id, v."""
-    blocks, own, visits = looked_at(vectors, k, block)
-    best = own.unionByName(block_pairs(blocks, visits).mapInArrow(visited(k), "query bigint, candidate bigint, similarity double"))
+    kind = "query bigint, candidate bigint, similarity double"
+    if vectors.count() <= block:
+        own = vectors.select(F.struct(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).alias("x"))
+        best = own.groupBy(F.lit(0).alias("_one")).agg(F.collect_list("x").alias("vs")).mapInArrow(single_look(k), kind)
+    else:
+        blocks, own, visits = looked_at(vectors, k, block)
+        best = own.unionByName(block_pairs(blocks, visits).mapInArrow(visited(k), kind))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "candidate")
     return best.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
