@@ -136,27 +136,24 @@ def calibration_line(df: DataFrame, p: str, label: str, weight: str, steps: int
 def cross_validated(df: DataFrame, key: str, features: list[str], label: str, weight: str, fold: str, models: dict[str, tuple[str, float]]) -> DataFrame:
     """Out-of-fold predictions of each model (kind, lambda): key, model, fold, y, w, p.
 
-    Kinds newton and firth are fitted by aggregation, all folds and models at once. Descent with fixed epochs (kinds descent,
-    balanced) goes by fold and model in one task each, with the training rows as one group."""
+    Kind newton is fitted by aggregation, all folds and models at once. Descent with fixed epochs (kinds descent, balanced) and
+    bias-reduced fits (firth) go by fold and model in one task each, with the training rows as one group."""
     from . import fits as R
 
     folds = sorted(int(r[0]) for r in df.select(fold).distinct().limit(101).collect())
     if len(folds) > 100:
         raise ValueError("more than 100 folds")
     parts = []
-    for kind in ("newton", "firth"):
-        own = {m: lam for m, (k, lam) in models.items() if k == kind}
-        if not own:
-            continue
-        w = F.col(weight) if kind == "newton" else F.lit(1.0)
-        rows = df.withColumn("_draws", R.fold_draws(F.col(fold), w, folds, len(own)))
-        got = R.newton(rows, features, label, "_draws", list(own.values()) * len(folds), standardise=True, firth=kind == "firth", tolerance=1e-10 if kind == "newton" else 1e-8)
+    own = {m: lam for m, (k, lam) in models.items() if k == "newton"}
+    if own:
+        rows = df.withColumn("_draws", R.fold_draws(F.col(fold), F.col(weight), folds, len(own)))
+        got = R.newton(rows, features, label, "_draws", list(own.values()) * len(folds), standardise=True)
         place = sum((F.when(F.col(fold) == f, i).otherwise(0) for i, f in enumerate(folds)), F.lit(0))
         name = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(i).alias("i")) for i, m in enumerate(own))))
         long = df.select(key, *features, label, weight, fold, name.alias("_m")).withColumn("_at", place * len(own) + F.col("_m.i"))
         out = R.predicted(long, features, got, "_at", "p")
         parts.append(out.select(key, F.col("_m.model").alias("model"), F.col(fold).cast("bigint").alias("fold"), F.col(label).cast("bigint").alias("y"), F.col(weight).cast("double").alias("w"), "p"))
-    own = {m: x for m, x in models.items() if x[0] in ("descent", "balanced")}
+    own = {m: x for m, x in models.items() if x[0] != "newton"}
     if own:
         parts.append(_descended(df, key, features, label, weight, fold, folds, own))
     out = parts[0]
@@ -177,7 +174,8 @@ def _descended(df: DataFrame, key: str, features: list[str], label: str, weight:
         tr, te = pdf[~test], pdf[test]
         mean, sd = tr[features].mean(), tr[features].std(ddof=0).where(lambda s: s > 1e-12, 1.0)
         a, b = ((tr[features] - mean) / sd).to_numpy(float), ((te[features] - mean) / sd).to_numpy(float)
-        beta = descent_logistic(a, tr[label].to_numpy(float), pdf["kind"].iloc[0] == "balanced")
+        y, kind = tr[label].to_numpy(float), pdf["kind"].iloc[0]
+        beta = firth_logistic(a, y) if kind == "firth" else descent_logistic(a, y, kind == "balanced")
         return pd.DataFrame({key: te[key], "model": pdf["model"].iloc[0], "fold": te[fold], "y": te[label], "w": te[weight].astype(float), "p": predict(beta, b)})
 
     t = dict(df.dtypes)
