@@ -60,6 +60,17 @@ def average_percentile(df: DataFrame, value: str, out: str, partition: list[str]
     return _back(df, k.drop("n", "below", "total"), value, partition or []).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(out, F.lit(0.0)))))
 
 
+def average_percentile_within(df: DataFrame, values: DataFrame, value: str, out: str, group: str) -> DataFrame:
+    """Mean rank / total within few large groups, for values without NULL: distinct values are ranked by ranges, so no group is one task."""
+    g = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = g.groupBy(group).agg(F.sum("n").alias("_in"))
+    first = totals.alias("a").join(F.broadcast(totals.select(F.col(group).alias("_other"), F.col("_in").alias("_less"))), F.col("_other") < F.col(group), "left")
+    first = first.groupBy(group, "_in").agg(F.coalesce(F.sum("_less"), F.lit(0)).alias("_first"))
+    k = running(g, [F.col(group), F.col(value)], F.col("n")).join(F.broadcast(first), group)
+    pct = (F.col("_below") - F.col("_first") + (F.col("n") + 1) / 2.0) / F.col("_in")
+    return df.join(k.select(group, value, pct.alias(out)), [group, value])
+
+
 def position(df: DataFrame, out: str, order: list[Column], partition: list[str] | None = None, total: str | None = None) -> DataFrame:
     """row_number from 1 in a full order (and the partition's size)."""
     if not partition:

@@ -65,8 +65,9 @@ def jn6(spark, sf):
 
 @query("JN7_composite_key", "SELECT s.descriptor, s.query, s.candidate, m.rank, s.route FROM scored s JOIN memberships m ON s.descriptor = m.descriptor AND s.query = m.query AND s.candidate = m.candidate", "scored")
 def jn7(spark, sf):
-    m = T.memberships(spark, sf).select("descriptor", "query", "candidate", "rank")
-    return scored(spark, sf).select("descriptor", "query", "candidate", "route").join(m, ["descriptor", "query", "candidate"]).select("descriptor", "query", "candidate", "rank", "route")
+    members = T.memberships(spark, sf)
+    m = members.select("descriptor", "query", "candidate", "rank")
+    return scored(spark, sf, members).select("descriptor", "query", "candidate", "route").join(m, ["descriptor", "query", "candidate"]).select("descriptor", "query", "candidate", "rank", "route")
 
 
 @query("JN8_endpoint_double_join", "SELECT a, b, x.site AS a_site, y.site AS b_site, x.sharp AS a_sharp, y.sharp AS b_sharp FROM pairs JOIN images x ON a = x.image_id JOIN images y ON b = y.image_id", "pairs", "images")
@@ -77,8 +78,9 @@ def jn8(spark, sf):
 
 @query("JN9_both_direction_lookup", "SELECT m.query, m.candidate, p.n_members FROM memberships m JOIN pairs p ON least(m.query, m.candidate) = p.a AND greatest(m.query, m.candidate) = p.b WHERE m.descriptor = 'mega'", "pairs")
 def jn9(spark, sf):
-    m = T.memberships(spark, sf).where("descriptor = 'mega'").select("query", "candidate")
-    p = T.pairs(spark, sf).select("a", "b", "n_members")
+    members = T.memberships(spark, sf)
+    m = members.where("descriptor = 'mega'").select("query", "candidate")
+    p = T.pairs(spark, sf, members).select("a", "b", "n_members")
     return m.withColumn("a", F.least("query", "candidate")).withColumn("b", F.greatest("query", "candidate")).join(p, ["a", "b"]).select("query", "candidate", "n_members")
 
 

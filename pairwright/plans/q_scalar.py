@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence as E
 from ..functions import keyed_hash as H
 from ..operators import knn
+from ..operators import ranks as R
 from . import tables as T
 from .registry import cte, query
 
@@ -21,11 +21,10 @@ def r6(x):
 # ---------------------------------------------------------------- shared scored evidence
 
 
-def scored(spark, sf):
+def scored(spark, sf, members=None):
     """Directed evidence with the percentile, quality, geometry, conflict and admissibility scores of pairs."""
-    e = T.evidence(spark, sf)
-    by, ties = Window.partitionBy("descriptor").orderBy("similarity"), Window.partitionBy("descriptor", "similarity")
-    e = e.withColumn("pct", (F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / 2.0) / F.count(F.lit(1)).over(Window.partitionBy("descriptor")))
+    m = T.memberships(spark, sf) if members is None else members
+    e = R.average_percentile_within(T.evidence(spark, sf, m), m, "similarity", "pct", "descriptor")
     e = e.withColumn("weakest", F.least(E.image_quality(c("q_dim"), F.lit(0.0)), E.image_quality(c("c_dim"), F.lit(0.0))))
     e = e.withColumn("geometry", F.bround(0.55 * E.size_compatibility(c("q_dim"), c("c_dim")) + 0.45 * E.aspect_compatibility(c("q_aspect"), c("c_aspect")), 6))
     e = e.withColumn("conflict", F.bround(E.clamp01(c("pct") - (0.65 * c("weakest") + 0.35 * c("geometry"))), 6))

@@ -71,9 +71,9 @@ WHERE rank <= 20""",
 )
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Canonical unordered pairs a < b with what the memberships say about them."""
-    m = memberships(spark, sf)
+def pairs(spark: SparkSession, sf: str, members: DataFrame | None = None) -> DataFrame:
+    """Canonical unordered pairs a < b with what the memberships (searched for if not given) say about them."""
+    m = memberships(spark, sf) if members is None else members
     c = m.withColumn("a", F.least("query", "candidate")).withColumn("b", F.greatest("query", "candidate")).withColumn("forward", F.col("query") == F.col("a"))
 
     def rank(d: str, forward: bool):
@@ -117,10 +117,10 @@ _EVIDENCE = """
 """
 
 
-def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Directed candidates with both endpoints' image facts (query side x, candidate side y)."""
-    m, im = memberships(spark, sf).alias("m"), images(spark, sf).drop("v")
-    j = m.join(im.alias("x"), F.col("m.query") == F.col("x.image_id")).join(im.alias("y"), F.col("m.candidate") == F.col("y.image_id"))
+def evidence(spark: SparkSession, sf: str, members: DataFrame | None = None) -> DataFrame:
+    """Directed candidates (searched for if not given) with both endpoints' image facts (query side x, candidate side y)."""
+    m, im = memberships(spark, sf) if members is None else members, images(spark, sf).drop("v")
+    j = m.alias("m").join(im.alias("x"), F.col("m.query") == F.col("x.image_id")).join(im.alias("y"), F.col("m.candidate") == F.col("y.image_id"))
     return j.selectExpr(*[c.strip() for c in _split(_EVIDENCE)])
 
 

@@ -44,3 +44,21 @@ def test_top_up_fills_short_groups(spark):
     df = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 100)], "g string, id bigint")
     got = {(r.g, r.id) for r in sampling.with_top_up(df, ["g"], [F.col("id")], 2, 6).collect()}
     assert got == {("a", 0), ("a", 1), ("b", 100), ("a", 2), ("a", 3), ("a", 4)}
+
+
+def test_percentiles_within_groups_are_not_one_task_for_each_group(spark):
+    rows = [(g, (i * 7 % n) / 4) for g, n in (("a", 5), ("b", 90), ("c", 1)) for i in range(n * 2)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = ranks.average_percentile_within(df, df, "v", "pct", "g")
+    from pyspark.sql import Window
+
+    by, ties = Window.partitionBy("g").orderBy("v"), Window.partitionBy("g", "v")
+    want = df.withColumn("pct", (F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / 2.0) / F.count(F.lit(1)).over(Window.partitionBy("g")))
+    assert sorted(map(tuple, got.select("g", "v", "pct").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_scored_evidence_searches_once_and_ranks_by_ranges(spark):
+    from pairwright.plans.q_scalar import scored
+
+    plan = scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(descriptor" not in plan
