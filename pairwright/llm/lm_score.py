@@ -360,7 +360,9 @@ def rated(texts: list[bytes], rid: np.ndarray, model, look) -> pa.RecordBatch:
     times = np.maximum(high(WORD_CODE, qw), 1.0)
     # a context's pairs occur as often as the word itself, so the discounts of its different pairs are what is left
     rest = np.where(qw > 0, np.clip(DISCOUNT * low(WORD_CODE, qk) / times, 1e-3, 1.0), 1.0)
-    pair = low(PAIR_CODE, look.pairs(pair_key(context, token & _W40)))
+    # a pair is asked for once, and pairs of a segment one after the other
+    asked, place = np.unique(pair_key(context, token & _W40), return_inverse=True)
+    pair = low(PAIR_CODE, look.pairs(asked))[place]
     p = np.maximum(pair - DISCOUNT, 0) / times[before] + rest[before] * single[number]
     score = np.bincount(text, weights=np.log10(np.minimum(p, 1.0)), minlength=len(n))
     loose = np.flatnonzero(~settled[number])

@@ -76,3 +76,25 @@ def test_pairs_that_occur_once_count(make):
         seen, unseen = 0.5 + 0.5 * 2 / 11, 0.5 * 2 / 11
         assert got[1] == pytest.approx(math.log10(seen * seen * unseen), abs=1e-9)
         assert got[2] == pytest.approx(math.log10(seen * unseen * seen), abs=1e-9)
+
+
+def test_a_pair_is_asked_for_once_in_a_block():
+    import numpy as np
+
+    from pairwright.llm import lm_score
+
+    asked = []
+
+    class Look:
+        def words(self, h):
+            return np.ones(len(h), np.int32)
+
+        def pairs(self, h):
+            asked.append(h)
+            return np.ones(len(h), np.int32)
+
+    texts = [b"one two one two one two three", b"one two"] * 50
+    model = (np.zeros(0, np.uint64), np.zeros(0, np.int64), True, 100, 4)
+    got = lm_score.rated(texts, np.arange(len(texts)), model, Look()).column("score").to_pylist()
+    assert len(asked) == 1 and len(asked[0]) == len(np.unique(asked[0])) == 6
+    assert got == got[:2] * 50
