@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import decontaminate, exact_dedup, jaccard_join, langid, mixing
-from pairwright.llm.common import remove, stored_alone
+from pairwright.llm.common import kept, remove, small_batches, stored_alone
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, or without a language that has half of the letters, go."""
-    return langid.reject(docs, langid.fit(docs.where(F.col("lang").isNotNull()).select("text", "lang")))
+    with small_batches(spark):
+        return kept(langid.reject(docs, langid.fit(docs.where(F.col("lang").isNotNull()).select("text", "lang"))), "language")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

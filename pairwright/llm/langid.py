@@ -228,8 +228,9 @@ def predictor(model: Model, carry: pa.Schema, spans: bool = False, names: tuple[
 
     def finish(group):
         """group: (batch, row number, Words, scores) of a pass."""
-        scores = np.concatenate([g[1] for g in group])
         shift = np.cumsum([0, *(len(g[1]) for g in group)])
+        scores = np.concatenate([g[1] for g in group])
+        group[:] = [(w, None) for w, _ in group]  # not held twice
         first = np.concatenate([g[0].first + s for g, s in zip(group, shift)])
         last = np.concatenate([g[0].last + s for g, s in zip(group, shift)])
         length = np.concatenate([g[0].length for g in group]).astype(np.float64)
@@ -265,7 +266,9 @@ def predictor(model: Model, carry: pa.Schema, spans: bool = False, names: tuple[
                     s = model.word_scores(w)
                     if spans:
                         w.texts = part
-                    w.points = None
+                        w.script = w.points = None
+                    else:
+                        w.start = w.end = w.script = w.points = None
                     group.append((w, s))
                     words += len(s)
                     if words >= PASS_WORDS:

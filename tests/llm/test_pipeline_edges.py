@@ -39,3 +39,17 @@ def test_null_ids_copies_and_clashing_names(spark, tmp_path, lang):
 def test_empty_table(spark, tmp_path):
     out = corpus_pipeline.run(spark, folder(spark, tmp_path, [], []))
     assert out.count() == 0 and "mix_target" in out.columns
+
+
+def test_language_stage_sends_texts_in_small_batches_and_stores_what_stays(spark, monkeypatch):
+    import corpus_pipeline
+    from pairwright.llm import common
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    reject = corpus_pipeline.langid.reject
+    monkeypatch.setattr(corpus_pipeline.langid, "reject", lambda *a: (seen.append(int(spark.conf.get(name))), reject(*a))[1])
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "hello there my friend", "en"), (2, "12 34", "en"), (3, None, None)], "doc_id bigint, text string, lang string")
+    out = corpus_pipeline.language(spark, docs, "")
+    assert [r.doc_id for r in out.collect()] == [1] and out.columns == docs.columns and out.inputFiles()
+    assert seen == [common.BATCH_ROWS] and spark.conf.get(name) == before
