@@ -265,9 +265,11 @@ SELECT family, strictness, action, CASE WHEN filt IS NOT NULL THEN CASE WHEN fil
 def cnd18(spark, sf):
     grid = [(f, s, a) for f in _FAMILIES for s in _STRICT for a in ("none", "defer", "exclude")]
     g = spark.createDataFrame(grid, "family string, strictness string, action string")
-    x = scored(spark, sf).crossJoin(F.broadcast(g))
-    a = E.policy_assignment(c("family"), c("strictness"), c("action"), c("q_sharp") >= 0.4, c("c_sharp") >= 0.4, c("reliability") >= 0.5, c("conflict") >= 0.5, (c("pct") >= 0.9) & (c("weakest") < 0.4), c("reliability") * 100)
-    return x.groupBy("family", "strictness", "action", a.alias("assignment")).agg(F.count(F.lit(1)).alias("n"))
+    # a policy sees six conditions of a row only, so what meets the grid is their combinations with counts
+    facts = {"qp": c("q_sharp") >= 0.4, "gp": c("c_sharp") >= 0.4, "pp": c("reliability") >= 0.5, "severe": c("conflict") >= 0.5, "contra": (c("pct") >= 0.9) & (c("weakest") < 0.4), "low": c("reliability") * 100 < 75.0}
+    x = scored(spark, sf).groupBy(*[v.alias(k) for k, v in facts.items()]).agg(F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(g))
+    a = E.policy_assignment(c("family"), c("strictness"), c("action"), c("qp"), c("gp"), c("pp"), c("severe"), c("contra"), F.when(c("low"), 0.0).otherwise(100.0))
+    return x.groupBy("family", "strictness", "action", a.alias("assignment")).agg(F.sum("rows").alias("n"))
 
 
 _FLAG_SQL = {n: f"query % {k} = {i % k}" for i, (n, k) in enumerate(zip([x for v in E.FAILURES.values() for x in v], [7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43]))}
