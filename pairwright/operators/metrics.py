@@ -208,7 +208,8 @@ def draws(spark, n: Column | int, reps: int, seed: str, slots: DataFrame) -> Dat
 def bootstrap(df: DataFrame, order: list[Column], value: Column, reps: int, seed: str) -> DataFrame:
     """(rep, value): the aggregate of each resample of the rows of df (a small table of units: queries, clusters, splits)."""
     x = _indexed(df, order)
-    slots = x.select(F.col("_i").alias("slot"), "_n")
+    # few bytes, but reps times as many draws: dealt to all cores before they are made
+    slots = x.select(F.col("_i").alias("slot"), "_n").repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
     d = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_i", hash_index(seed, F.col("_n"), F.col("rep"), F.col("slot"))).groupBy("rep", "_i").agg(F.count(F.lit(1)).alias("times"))
     return d.join(x.drop("_n"), "_i").groupBy("rep").agg(value.alias("value"))
 
