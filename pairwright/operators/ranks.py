@@ -71,6 +71,12 @@ def average_percentile_within(df: DataFrame, values: DataFrame, value: str, out:
     return df.join(k.select(group, value, pct.alias(out)), [group, value])
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with exact interpolated quantiles as an array, q. Values are counted first, so the last task gets distinct values once."""
+    g = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.percentile(value, F.array(*[F.lit(x) for x in shares]), F.col("_n")).alias("q"))
+
+
 def position(df: DataFrame, out: str, order: list[Column], partition: list[str] | None = None, total: str | None = None) -> DataFrame:
     """row_number from 1 in a full order (and the partition's size)."""
     if not partition:

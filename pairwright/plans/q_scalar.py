@@ -157,7 +157,7 @@ SELECT action, count(*) AS n FROM (SELECT CASE
 )
 def cnd7(spark, sf):
     s = scored(spark, sf)
-    q = s.agg(F.percentile("review", F.lit(0.8)).alias("hi"), F.percentile("review", F.lit(0.4)).alias("lo"))
+    q = R.quantiles(s, "review", [0.8, 0.4]).select(c("q")[0].alias("hi"), c("q")[1].alias("lo"))
     a = E.review_action(c("review"), c("hi"), c("lo"), c("admissible"), c("weakest"), c("conflict"), c("route"), F.lit("reviewable"))
     return s.crossJoin(F.broadcast(q)).groupBy(a.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -62,3 +62,22 @@ def test_scored_evidence_searches_once_and_ranks_by_ranges(spark):
 
     plan = scored(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(descriptor" not in plan
+
+
+def test_quantiles_count_values_first(spark):
+    df = spark.range(0, 1001, 1, 5).select(F.when(F.col("id") % 10 != 0, F.col("id") * 7 % 83 / 8.0).alias("v"))
+    got = ranks.quantiles(df, "v", [0.8, 0.4, 0.0, 1.0])
+    assert got.collect()[0].q == df.agg(F.percentile("v", F.array(*[F.lit(x) for x in (0.8, 0.4, 0.0, 1.0)])).alias("q")).collect()[0].q
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    assert ranks.quantiles(df.where("v > 1e9"), "v", [0.5]).collect()[0].q is None
+
+
+def test_draws_are_not_made_in_one_task(spark):
+    from pairwright.operators import metrics
+
+    x = spark.range(0, 300).select("id", (F.col("id") % 7).cast("double").alias("v"))
+    got = metrics.bootstrap(x, [F.col("id")], F.sum(F.col("v") * F.col("times")) / F.sum("times"), 20, "s")
+    before = spark.sparkContext.defaultParallelism * 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {before}, true" in plan
+    assert got.count() == 20
