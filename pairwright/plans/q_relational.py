@@ -435,8 +435,17 @@ def st5(spark, sf):
 
 @query("ST6_top_k_after_rescoring", "SELECT policy, query, candidate FROM (SELECT *, row_number() OVER (PARTITION BY policy, query ORDER BY score DESC, candidate) AS rn FROM policies WHERE descriptor = 'mega' AND route <> 'non_comparable') WHERE rn <= 3", "policies")
 def st6(spark, sf):
-    w = Window.partitionBy("policy", "query").orderBy(F.desc("score"), "candidate")
-    return policies(scored(spark, sf).where("descriptor = 'mega' and route <> 'non_comparable'")).withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("policy", "query", "candidate")
+    # a query has 20 candidates at most: they are gathered once and sorted in its row for each policy. The route is no filter,
+    # as that would be moved below the scores and compute them anew wherever it names them
+    p = E.policy_scores(c("pct"), c("weakest"), c("admissible"), c("review"), c("conflict"))
+    s = scored(spark, sf).where("descriptor = 'mega'").select("query", F.when(c("route") != "non_comparable", F.struct("candidate", *[v.alias(k) for k, v in p.items()])).alias("x"))
+    q = s.groupBy("query").agg(F.collect_list("x").alias("xs"))
+
+    def best(policy):
+        return F.slice(F.sort_array(F.transform("xs", lambda x: F.struct(-x[policy], x.candidate.alias("candidate")))), 1, 3)["candidate"]
+
+    y = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), best(k).alias("best")) for k in p])).alias("y")
+    return q.select("query", y).select("y.policy", "query", F.explode("y.best").alias("candidate"))
 
 
 @query("ST7_next_pending", "WITH d AS (SELECT packet, count(*) FILTER (decision = 'review_ready') > 9 AS done FROM reviews GROUP BY 1) SELECT cur.k AS cur, coalesce(min(packet) FILTER (packet > cur.k), min(packet)) AS next FROM d, (VALUES (0), (100), (399)) cur(k) WHERE NOT done GROUP BY 1", "reviews")
