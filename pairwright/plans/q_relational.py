@@ -101,13 +101,12 @@ def jn12(spark, sf):
 
 @query("JN13_knn_join", "SELECT query, candidate, similarity, rank FROM memberships WHERE descriptor = 'mega'", "memberships")
 def jn13(spark, sf):
-    return knn.knn(T.images(spark, sf).select(c("image_id").alias("id"), "v"), 20)
+    return knn.knn(T.vectors(spark, sf), 20)
 
 
 @query("JN14_knn_normalised", "SELECT query, candidate, similarity, rank FROM memberships WHERE descriptor = 'dino' AND rank <= 5", "memberships")
 def jn14(spark, sf):
-    h = T.images(spark, sf).select(c("image_id").alias("id"), knn.normalised(F.slice("v", 1, 32)).alias("v"))
-    return knn.knn(h, 5, block=128)
+    return knn.knn(T.halves(spark, sf), 5, block=128, unit=True)
 
 
 @query("JN15_pos_neg_pairs", "SELECT count(*) AS n_pairs, count(*) FILTER (x.p > z.p) AS wins, count(*) FILTER (x.p = z.p) AS ties FROM outcomes x JOIN outcomes z ON x.y = 1 AND z.y = 0", "outcomes")

@@ -47,12 +47,20 @@ def _split(text: str) -> list[str]:
 cte("images", "SELECT " + _IMAGE_COLUMNS.format(s="VARCHAR") + ", CAST(embedding AS DOUBLE[]) AS v FROM embeddings")
 
 
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """id, v: what the first descriptor searches, as stored."""
+    return table(spark, sf, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def halves(spark: SparkSession, sf: str) -> DataFrame:
+    """id, v: what the second descriptor takes the direction of."""
+    return vectors(spark, sf).withColumn("v", F.slice("v", 1, 32))
+
+
 def memberships(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
     """Directed candidates of two descriptors: descriptor, query, candidate, similarity, rank."""
-    im = images(spark, sf)
-    mega = knn.knn(im.select(F.col("image_id").alias("id"), "v"), k).withColumn("descriptor", F.lit("mega"))
-    half = im.select(F.col("image_id").alias("id"), knn.normalised(F.slice("v", 1, 32)).alias("v"))
-    return mega.unionByName(knn.knn(half, k).withColumn("descriptor", F.lit("dino"))).select("descriptor", "query", "candidate", "similarity", "rank")
+    mega = knn.knn(vectors(spark, sf), k).withColumn("descriptor", F.lit("mega"))
+    return mega.unionByName(knn.knn(halves(spark, sf), k, unit=True).withColumn("descriptor", F.lit("dino"))).select("descriptor", "query", "candidate", "similarity", "rank")
 
 
 cte("halves", "SELECT image_id, list_transform(v[1:32], lambda x: x / sqrt(list_inner_product(v[1:32], v[1:32]))) AS h FROM images", "images")
