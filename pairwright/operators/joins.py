@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .sets import duplicate_keys
 
+#: Rows of a block of a group, on average; blocks of a group at most, as a row is sent once for each; tasks for each core that blocks meet in.
+BLOCK, BLOCKS, TASKS = 1024, 32, 8
+
 
 def _unique(df: DataFrame, keys: list[str], what: str) -> None:
     if not duplicate_keys(df, keys).limit(1).isEmpty():
@@ -48,12 +51,39 @@ def endpoints(pairs: DataFrame, nodes: DataFrame, key: str, prefixes: dict[str,
     return pairs
 
 
+def blocked(df: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Adds _blocks, how many blocks a row's group is cut into, and _block, the row's own by the hash of its key. Rows without group are in no pair and go."""
+    size = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    out = df.join(size, group).withColumn("_blocks", F.least(F.ceil(F.col("_n") / BLOCK), F.lit(BLOCKS)).cast("int"))
+    # never null by type, so keys that are made of it are of one type
+    return out.withColumn("_block", F.coalesce(F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"), F.lit(0))).drop("_n")
+
+
+def pairs_of_blocks(df: DataFrame, group: list[str], key: str, carry: list[str]) -> DataFrame:
+    """Unordered pairs a < b of what blocked() gives. Two blocks of a group meet once, in a task that the group and both blocks choose."""
+    parts = TASKS * df.sparkSession.sparkContext.defaultParallelism
+
+    def side(name, i, j):
+        s = df.withColumn("_i", i).withColumn("_j", j).withColumn("_apart", F.col("_i") < F.col("_j"))
+        # one key, as a group that is a constant would leave a join by several, which then deals its rows anew
+        s = s.select(F.struct(*group, "_i", "_j").alias("_meet"), *[F.col(c).alias(f"_{name}_{c}") for c in dict.fromkeys(["_apart", key, *carry])])
+        return s.repartition(parts, "_meet")  # a number that is given is kept, however few bytes there are
+
+    x = side("x", F.col("_block"), F.explode(F.sequence("_block", F.col("_blocks") - 1)))
+    y = side("y", F.explode(F.sequence(F.lit(0), "_block")), F.col("_block"))
+    # equal keys are in one block, so those of two blocks stand either way round
+    up, down = F.col(f"_x_{key}") < F.col(f"_y_{key}"), F.col(f"_x_{key}") > F.col(f"_y_{key}")
+    j = x.join(y.hint("merge"), "_meet").where(up | F.col("_x__apart") & down)
+
+    def end(name, first):
+        return [F.when(first, F.col(f"_x_{c}")).otherwise(F.col(f"_y_{c}")).alias(out) for c, out in ((key, name), *[(c, f"{name}_{c}") for c in carry])]
+
+    return j.select(*[F.col(f"_meet.{g}").alias(g) for g in group], *end("a", up), *end("b", down))
+
+
 def pairs_within(df: DataFrame, group: list[str], key: str, carry: list[str] | None = None) -> DataFrame:
     """Unordered pairs a < b of keys in a group."""
-    carry = carry or []
-    a = df.select(*group, F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry])
-    b = df.select(*group, F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in carry])
-    return a.join(b, group).where("a < b")
+    return pairs_of_blocks(blocked(df.select(*group, key, *[c for c in carry or [] if c not in (key, *group)]), group, key), group, key, carry or [])
 
 
 def pareto(df: DataFrame, group: list[str], scores: list[str]) -> DataFrame:

@@ -4,6 +4,8 @@ All pairs of a group that have different identities (or the same one) get number
 their identities, and each identity's block holds as many numbers as it has such pairs with the members before it
 (or within itself). A number is turned back into two places by arithmetic, so a sample costs as many rows as it
 has pairs, whatever the group's size, and none is drawn in vain.
+
+The least hashes of all pairs can't be had so: each pair is hashed (`least_hashed`), on all cores.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed_hash import hash_order
 from ..sources.shared import stored
+from .joins import blocked, pairs_of_blocks
 
 #: Groups with fewer than SPARE times as many pairs as wanted take the pairs of the least hashes instead of draws.
 SPARE = 4
@@ -79,3 +82,21 @@ def sampled_pairs(df: DataFrame, group: str, key: str, identity: str, want: int,
     for side in ("i", "j"):
         places = places.join(member.withColumnRenamed("_key", f"_{side}"), (F.col(group) == F.col("_group")) & (F.col(side) == F.col("_place"))).drop("_group", "_place")
     return places.select(group, F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"))
+
+
+def least_hashed(df: DataFrame, group: str, key: str, identity: str, want: int, seed: str) -> DataFrame:
+    """a, b (a < b): the `want` pairs of all groups' pairs with different identities that come first by hash, a and b, in that order.
+    Of groups with several blocks the first blocks' own pairs are hashed before the others: no hash above their `want`-th is among
+    the least of all, so hardly any pair but those wanted is sorted."""
+    x = blocked(df.select(group, key, identity, F.col(key).cast("string").alias("text")), [group], key)
+
+    def hashed(rows):
+        p = pairs_of_blocks(rows, [group], key, [identity, "text"]).where(F.col(f"a_{identity}") != F.col(f"b_{identity}"))
+        return p.select(hash_order(seed, F.col("a_text"), F.col("b_text")).alias("h"), "a", "b")
+
+    few = hashed(x.where("_block = 0 and _blocks > 1").withColumn("_blocks", F.lit(1))).select("h").orderBy("h").limit(want)
+    bound = few.agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h")).first()
+    p = hashed(x)
+    if bound.n == want:
+        p = p.where(F.col("h") <= bound.h)
+    return p.orderBy("h", "a", "b").limit(want).select("a", "b")

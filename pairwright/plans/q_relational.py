@@ -178,9 +178,7 @@ def jn23(spark, sf):
 
 @query("JN24_hash_ordered_pairs", "SELECT a, b FROM (SELECT x.image_id AS a, y.image_id AS b, sha256('neg|' || x.image_id::VARCHAR || '|' || y.image_id::VARCHAR) AS h FROM images x JOIN images y ON x.site = y.site AND x.image_id < y.image_id AND x.identity <> y.identity) ORDER BY h, a, b LIMIT 50", "images")
 def jn24(spark, sf):
-    im = T.images(spark, sf).select("site", "image_id", "identity")
-    p = J.pairs_within(im.select("site", "image_id", "identity"), ["site"], "image_id", ["identity"]).where("a_identity <> b_identity")
-    return p.orderBy(H.hash_order("neg", c("a"), c("b")), "a", "b").limit(50).select("a", "b")
+    return P.least_hashed(T.images(spark, sf).select("site", "image_id", "identity"), "site", "image_id", "identity", 50, "neg")
 
 
 #: Numbers of pairs with different identities by blocks of identities, draws of 40 of each site, places by number.
